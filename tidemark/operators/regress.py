@@ -7,11 +7,11 @@ numpy and then by a combinable group-by; only K x K numbers reach the driver.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.scalar import coefficient_cell
@@ -68,18 +68,22 @@ def normal_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
+def _matrix(batch: pa.RecordBatch, positions: Iterable[int]) -> np.ndarray:
+    return np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in positions])
+
+
 def _sum_cells(df: DataFrame, cols: Sequence[str], block, size: int) -> np.ndarray:
     """Sum block(X) over all rows, where block returns `size` numbers for a batch X."""
     cols = list(cols)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
-            total += block(batch[cols].to_numpy(dtype=float))
-        yield pd.DataFrame({"cell": np.arange(size, dtype="int32"), "v": total})
+            total += block(_matrix(batch, range(len(cols))))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype="int32")), pa.array(total)], ["cell", "v"])
 
     summed = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-              .mapInPandas(partial, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")))
+              .mapInArrow(partial, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")))
     out = np.zeros(size)
     for r in summed.collect():
         out[r["cell"]] = r["v"]
@@ -106,19 +110,26 @@ def cluster_cov(df: DataFrame, x: Sequence[str], beta: np.ndarray, y: str, group
     """Sandwich covariance with scores summed per group, and the number of groups."""
     x, k = list(x), len(x)
 
-    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [group, *dict.fromkeys([*x, y])]
+    at = [columns.index(c) for c in x]
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = batch[x].to_numpy(dtype=float)
+            if batch.num_rows == 0:
+                continue
+            m = _matrix(batch, at)
             fitted = m @ beta
             if logit:
                 fitted = 1.0 / (1.0 + np.exp(-fitted))
-            s = m * (batch[y].to_numpy(dtype=float) - fitted)[:, None]
-            yield pd.DataFrame(s, columns=x).groupby(batch[group].to_numpy()).sum().rename_axis("_g").reset_index()
-
-    dtype = dict(df.dtypes)[group]
-    schema = ", ".join([f"`_g` {dtype}"] + [f"`{c}` double" for c in x])
-    rows = df.select(group, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*x, y])])
-    per_group = rows.mapInPandas(scores, schema).groupBy("_g").agg(*[F.sum(c).alias(c) for c in x])
+            s = m * (_matrix(batch, [columns.index(y)])[:, 0] - fitted)[:, None]
+            coded = batch.column(0).dictionary_encode()
+            codes = coded.indices.to_numpy()
+            sums = [np.bincount(codes, weights=s[:, j], minlength=len(coded.dictionary)) for j in range(k)]
+            yield pa.RecordBatch.from_arrays([coded.dictionary, *map(pa.array, sums)], ["_g", *x])
+
+    schema = ", ".join([f"`_g` {dict(df.dtypes)[group]}"] + [f"`{c}` double" for c in x])
+    rows = df.select(group, *[F.col(c).cast("double").alias(c) for c in columns[1:]])
+    per_group = rows.mapInArrow(scores, schema).groupBy("_g").agg(*[F.sum(c).alias(c) for c in x])
     meat = _sum_cells(per_group, x, lambda s: np.append((s.T @ s).ravel(), len(s)), k * k + 1)
     groups = int(meat[-1])
     inverse = np.linalg.pinv(bread, hermitian=True, rcond=1e-12)
@@ -162,7 +173,7 @@ def logit(df: DataFrame, y: str, x: Sequence[str], group: str, max_iter: int = 2
             ll = float(t @ eta - np.logaddexp(0.0, eta).sum())
             return np.concatenate([hess.ravel(), z.T @ (t - p), [ll, len(t), t.sum()]])
         s = _sum_cells(rows, [*names, y], block, k * k + k + 3)
-        return s[:k * k].reshape(k, k), s[k * k:k * k + k], s[-3], s[-2], s[-1]
+        return s[:k * k].reshape(k, k), s[k * k:k * k + k], float(s[-3]), float(s[-2]), float(s[-1])
 
     beta, converged = np.zeros(k), False
     hess, grad, ll, n, positives = evaluate(beta)
