@@ -77,6 +77,6 @@ def score_text(df: DataFrame, text_col: str = "comments", keep: Sequence[str] =
             F.col(f"hits_{c}"),
             (F.lit(100.0) * F.col(f"hits_{c}") / F.col("n_tokens")).alias(f"dens_{c}"),
             (F.col(f"hits_{c}") > 0).cast("int").alias(f"pres_{c}"))],
-        tx.compound(F.col("_s.total")).alias("vader_compound"),
-        F.coalesce(F.try_divide(F.col("_s.pos"), total), F.lit(0.0)).alias("vader_pos"),
-        F.coalesce(F.try_divide(F.abs("_s.neg"), total), F.lit(0.0)).alias("vader_neg"))
+        F.round(tx.compound(F.col("_s.total")), 4).alias("vader_compound"),
+        F.round(F.coalesce(F.try_divide(F.col("_s.pos"), total), F.lit(0.0)), 3).alias("vader_pos"),
+        F.round(F.coalesce(F.try_divide(F.abs("_s.neg"), total), F.lit(0.0)), 3).alias("vader_neg"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.scalar import slug, to_day, to_whole_number
+from tidemark.sources.tables import read_if_written
 
 RAW_SCHEMA = StructType([StructField(c, StringType()) for c in
                          ("listing_id", "id", "date", "reviewer_id", "comments")])
@@ -66,8 +67,8 @@ def ingest(spark: SparkSession, folder: str, target: str) -> DataFrame:
     Dynamic partition overwrite makes a re-run of a half-written city replace it.
     """
     cities = registry(spark, folder)
-    done = written(spark, target)
-    pending = cities if done is None else cities.join(F.broadcast(done), "city_id", "left_anti")
+    done = read_if_written(spark, f"{target}.done")
+    pending = cities if done is None else cities.join(F.broadcast(done.select("file")), "file", "left_anti")
     files = [r["file"] for r in pending.select("file").collect()]     # a list of file names
     if files:
         rows = with_city(scan(spark, folder).filter(F.col("file").isin(files)), pending)
@@ -76,12 +77,3 @@ def ingest(spark: SparkSession, folder: str, target: str) -> DataFrame:
         mark = pending.select("city_id", "file")
         mark.write.mode("append").parquet(f"{target}.done")
     return spark.read.parquet(target).select(*META)
-
-
-def written(spark: SparkSession, target: str) -> DataFrame | None:
-    """City ids recorded as finished, or None before the first run."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}.done")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    return spark.read.parquet(f"{target}.done").select("city_id").distinct()

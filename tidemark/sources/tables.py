@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -30,9 +31,14 @@ def empty_table(spark: SparkSession, schema: str | StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at `path`, or None before anything was written there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 class Ledger:
@@ -42,7 +48,7 @@ class Ledger:
         self.spark, self.path, self.keys = spark, path, list(keys)
 
     def table(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path) if _exists(self.spark, self.path) else None
+        return read_if_written(self.spark, self.path)
 
     def done(self) -> set[tuple]:
         """Keys of the stored results: one per model or effect."""
