@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from tidemark.functions.lexicon import AUTOMATED_POSTS, LANGUAGE_TOKENS, STOP_WORDS, joined
+from tidemark.functions.alternation import merged
+from tidemark.functions.lexicon import AUTOMATED_POSTS, LANGUAGE_TOKENS, STOP_WORDS
 
 BREAKS = r"(?U)<br\s*/?>|\r|\n"
 EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -51,7 +52,12 @@ def sentence_count(text: Column) -> Column:
 
 def lexicon_hits(text: Column, patterns: Sequence[str]) -> Column:
     """Non-overlapping, case-blind matches of any of the patterns."""
-    return F.regexp_count(text, F.lit("(?iu)" + joined(tuple(patterns))))
+    merged_patterns = merged(patterns)
+    if not merged_patterns.isascii():
+        return F.regexp_count(text, F.lit("(?iu)" + merged_patterns))
+    # Four other letters equal an ASCII one when case is ignored; with them replaced, the
+    # faster ASCII-only matching finds the same.
+    return F.regexp_count(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"), F.lit("(?i)" + merged_patterns))
 
 
 def valence(word: Column, valences: Mapping[str, float]) -> Column:
