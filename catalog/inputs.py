@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.cohort import CohortRule, focal_panel
 from tidemark.operators.measure import score_text
+from tidemark.sources.tables import spread_if_few
 
 # Phrases with known construct content, appended by doc_id % 8.
 PHRASES = (
@@ -48,7 +49,7 @@ def aug_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    return score_text(aug_documents(spark, sf), "text", keep=["doc_id"])
+    return score_text(spread_if_few(aug_documents(spark, sf)), "text", keep=["doc_id"])
 
 
 def focal(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,13 +9,15 @@ DEGREE = 3
 BASIS = KNOTS + DEGREE - 2      # the last of KNOTS + DEGREE - 1 functions is dropped
 
 
-def basis(x: Column, low: float, high: float, knots: int = KNOTS) -> list[Column]:
-    """Basis values of x; outside [low, high] the value at the nearer end is used."""
+def basis(x: Column, low: float, high: float, knots: int = KNOTS) -> Column:
+    """Array of basis values of x; outside [low, high] the value at the nearer end is used."""
+    size = knots + DEGREE - 2
     step = (high - low) / (knots - 1)
     if step <= 0:
-        return [F.lit(0.0)] * (knots + DEGREE - 2)
-    at = F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low)))
-    return [bump((at - F.lit(low + (i - DEGREE) * step)) / F.lit(step)) for i in range(knots + DEGREE - 2)]
+        return F.array_repeat(F.lit(0.0), size)
+    at = (F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low))) - F.lit(float(low))) / F.lit(step)
+    starts = F.array(*[F.lit(float(i - DEGREE)) for i in range(size)])
+    return F.transform(starts, lambda t: bump(at - t))
 
 
 def bump(u: Column) -> Column:

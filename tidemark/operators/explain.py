@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import spline
@@ -142,19 +142,19 @@ class SplineShapes:
         limits = train.agg(*[f(x).alias(f"{x}__{k}") for x in self.features
                              for k, f in (("lo", F.min), ("hi", F.max))]).first()
         self.range = {x: (float(limits[f"{x}__lo"]), float(limits[f"{x}__hi"])) for x in self.features}
-        self.columns = [f"{x}__b{i}" for x in self.features for i in range(spline.BASIS)]
-        rows = self.expand(train).withColumn("_label", F.col(label).cast("double")).persist()
+        rows = self.expand(train).withColumn("_label", F.col(label).cast("double")).select("_b", "_label").persist()
         n = rows.count()
         self.model = LogisticRegression(featuresCol="_b", labelCol="_label", regParam=1.0 / (c * n),
-                                        elasticNetParam=0.0, standardization=False, maxIter=300, tol=1e-9).fit(rows)
+                                        elasticNetParam=0.0, standardization=False, maxIter=300, tol=1e-6).fit(rows)
         rows.unpersist()
-        self.weights = dict(zip(self.columns, [float(v) for v in self.model.coefficients]))
+        found = [float(v) for v in self.model.coefficients]
+        self.weights = {x: found[i * spline.BASIS:(i + 1) * spline.BASIS] for i, x in enumerate(self.features)}
         self.train = train
 
     def expand(self, df: DataFrame) -> DataFrame:
-        cols = [b.alias(f"{x}__b{i}") for x in self.features
-                for i, b in enumerate(spline.basis(F.col(x), *self.range[x])[:spline.BASIS])]
-        return VectorAssembler(inputCols=self.columns, outputCol="_b").transform(df.select("*", *cols)).drop(*self.columns)
+        """Add the vector of all basis values."""
+        values = F.concat(*[spline.basis(F.col(x), *self.range[x]) for x in self.features])
+        return df.withColumn("_b", array_to_vector(values))
 
     def score(self, df: DataFrame) -> DataFrame:
         return self.model.transform(self.expand(df)).withColumn("score", probability(False)).drop(
@@ -168,9 +168,9 @@ class SplineShapes:
         rows = [(c, i, float(v)) for c in features for i, v in enumerate(grid[c])]
         f = F.lit(None).cast("double")
         for c in features:
-            value = F.lit(0.0)
-            for i, b in enumerate(spline.basis(F.col("x"), *self.range[c])[:spline.BASIS]):
-                value = value + b * F.lit(self.weights[f"{c}__b{i}"])
+            weights = F.array(*[F.lit(w) for w in self.weights[c]])
+            terms = F.zip_with(spline.basis(F.col("x"), *self.range[c]), weights, lambda b, w: b * w)
+            value = F.aggregate(terms, F.lit(0.0), lambda total, v: total + v)
             f = F.when(F.col("feature") == c, value).otherwise(f)
         raw = spark.createDataFrame(rows, "feature string, ord int, x double").withColumn("f", f)
         mean = raw.groupBy("feature").agg(F.avg("f").alias("_m"))

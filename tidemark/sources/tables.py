@@ -13,6 +13,15 @@ def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
     return spark.read.parquet(path).select(*columns)
 
 
+def spread_if_few(df: DataFrame) -> DataFrame:
+    """Use every core when the scan has fewer splits than cores, as with one small file.
+
+    Large inputs have more splits than cores and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", by: Sequence[str] = ()) -> None:
     writer = df.write.mode(mode).option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
