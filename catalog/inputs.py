@@ -45,11 +45,11 @@ def city_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def aug_documents(spark: SparkSession, sf: str) -> DataFrame:
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % 8 + 1).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", "source", F.concat("text", phrase).alias("text"))
+    return spread_if_few(table(spark, sf, "documents")).select("doc_id", "source", F.concat("text", phrase).alias("text"))
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    return score_text(spread_if_few(aug_documents(spark, sf)), "text", keep=["doc_id"])
+    return score_text(aug_documents(spark, sf), "text", keep=["doc_id"])
 
 
 def focal(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +57,10 @@ def focal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def analysis(spark: SparkSession, sf: str) -> DataFrame:
-    """Cohort x text scores x city name; the review text is document review_id % count(documents)."""
+    """Cohort x text scores x city name; the review text is document review_id % count(documents).
+
+    Kept, because most models read their rows several times. In a study it is a written table.
+    """
     docs = table(spark, sf, "documents").count()
     rows = focal(spark, sf).withColumn("doc_id", F.col("review_id") % F.lit(docs))
-    return rows.join(features(spark, sf), "doc_id").join(F.broadcast(city_names(spark, sf)), "city_id")
+    return rows.join(features(spark, sf), "doc_id").join(F.broadcast(city_names(spark, sf)), "city_id").persist()

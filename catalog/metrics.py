@@ -136,11 +136,11 @@ _HUMAN = {"h": """SELECT 'dictionary' AS instrument, hits_BI::DOUBLE AS score, p
     GROUP BY instrument, n1, n0"""))
 def instrument_agreement(spark, sf):
     both = I.features(spark, sf).join(I.table(spark, sf, "labels"), "doc_id")
-    words = both.select(F.lit("dictionary").alias("instrument"), F.col("hits_BI").cast("double").alias("score"),
-                        F.col("pres_BI").alias("flag"), F.col("quality").alias("human"))
-    mood = both.select(F.lit("sentiment").alias("instrument"), F.col("vader_compound").alias("score"),
-                       (F.col("vader_compound") > 0.5).cast("int").alias("flag"), F.col("quality").alias("human"))
-    return mt.instrument_agreement(words.unionByName(mood), "instrument", "score", "flag", "human")
+    given = (("dictionary", F.col("hits_BI").cast("double"), F.col("pres_BI")),
+             ("sentiment", F.col("vader_compound"), (F.col("vader_compound") > 0.5).cast("int")))
+    each = [F.struct(F.lit(n).alias("instrument"), score.alias("score"), flag.alias("flag")) for n, score, flag in given]
+    rows = both.select(F.col("quality").alias("human"), F.explode(F.array(*each)).alias("i")).select("human", "i.*")
+    return mt.instrument_agreement(rows.persist(), "instrument", "score", "flag", "human")
 
 
 _CODES = {"codes": """
@@ -169,15 +169,15 @@ _CODES = {"codes": """
 def coder_reliability(spark, sf):
     labels, feats = I.table(spark, sf, "labels"), I.features(spark, sf)
 
-    def codes(rows, construct, coder, value):
-        return rows.select(F.lit(construct).alias("construct"), F.col("doc_id").alias("unit"),
-                           F.lit(coder).alias("coder"), value.cast("int").alias("v"))
-    every = (codes(labels, "quality", "label", F.col("quality"))
-             .unionByName(codes(feats, "quality", "long", F.col("n_tokens") > 200))
-             .unionByName(codes(feats, "quality", "clean", F.col("hits_SAT") == 0))
-             .unionByName(codes(labels, "toxic", "label", F.col("toxic")))
-             .unionByName(codes(feats, "toxic", "mood", F.col("vader_neg") > F.col("vader_pos"))))
-    return mt.coder_reliability(every, "construct", "unit", "coder", "v")
+    def codes(rows, *given):
+        each = [F.struct(F.lit(construct).alias("construct"), F.lit(coder).alias("coder"), value.cast("int").alias("v"))
+                for construct, coder, value in given]
+        return rows.select(F.col("doc_id").alias("unit"), F.explode(F.array(*each)).alias("c")).select("unit", "c.*")
+
+    every = codes(labels, ("quality", "label", F.col("quality")), ("toxic", "label", F.col("toxic"))).unionByName(codes(
+        feats, ("quality", "long", F.col("n_tokens") > 200), ("quality", "clean", F.col("hits_SAT") == 0),
+        ("toxic", "mood", F.col("vader_neg") > F.col("vader_pos"))))
+    return mt.coder_reliability(every.persist(), "construct", "unit", "coder", "v")
 
 
 @query("price_ranking_e1", """

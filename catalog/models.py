@@ -16,7 +16,7 @@ TRAIN_TO, VALIDATION_TO = 1995 * 12 + 5, 1995 * 12 + 9
 
 
 def _period_rows(spark, sf):
-    return I.analysis(spark, sf).withColumn("period", F.col("year") * 12 + F.col("month")).persist()
+    return I.analysis(spark, sf).withColumn("period", F.col("year") * 12 + F.col("month"))
 
 
 def _model_rows(spark, sf):
@@ -93,7 +93,7 @@ def city_effects_slope(spark, sf):
 
 
 def _pair(spark, sf):
-    rows = I.analysis(spark, sf).persist()
+    rows = I.analysis(spark, sf)
     return rg.fit_pair(rows, "y_continue")
 
 
@@ -109,12 +109,12 @@ def mediation(spark, sf):
 
 @query("measurement_modes_m9")
 def measurement_modes(spark, sf):
-    return study.summary(spark, study.robustness_modes(I.analysis(spark, sf).persist(), ["y_continue"])).drop("seconds")
+    return study.summary(spark, study.robustness_modes(I.analysis(spark, sf), ["y_continue"])).drop("seconds")
 
 
 @query("sample_robustness_m10_m12")
 def sample_robustness(spark, sf):
-    rows = I.analysis(spark, sf).persist()
+    rows = I.analysis(spark, sf)
     return study.summary(spark, study.robustness_samples(rows, ["y_continue"], years=(1997,), largest=10)).drop("seconds")
 
 
@@ -289,8 +289,8 @@ def boosted_effects(spark, sf):
 @query("linear_effects_c2_c5")
 def linear_effects(spark, sf):
     """Every construct, with all other features as controls."""
-    return study.estimate_effects(_period_rows(spark, sf), "y_continue", rows=None, fit_on=F.col("period") <= TRAIN_TO,
-                                  residuals=ca.residuals_linear).drop("seconds")
+    return study.estimate_effects_linear(_period_rows(spark, sf), "y_continue",
+                                         fit_on=F.col("period") <= TRAIN_TO).drop("seconds")
 
 
 @query("effect_forest_c6")

@@ -82,14 +82,15 @@ def in_window(gap: Column, rule: CohortRule) -> Column:
     return lower & (gap <= rule.window_days)
 
 
-def with_outcomes(reviews: DataFrame, rule: CohortRule, hot_rows: int = HOT_MIN_ROWS) -> DataFrame:
+def with_outcomes(reviews: DataFrame, rule: CohortRule, hot_rows: int = HOT_MIN_ROWS,
+                  counted_on: DataFrame | None = None) -> DataFrame:
     """First row of every eligible reviewer with n_future, n_future_same and days_to_next.
 
     Ordinary reviewers need one shuffle: first date and listing come from a window and
     the counts from a group-by on the same key. A reviewer with a large share of the
     rows is reduced by combinable aggregates instead, so no task receives the group.
     """
-    cold, hot = split_hot(reviews, ["reviewer_id"], min_rows=hot_rows)
+    cold, hot = split_hot(reviews, ["reviewer_id"], hot_rows, counted_on)
     ordered = W.partitionBy("reviewer_id").orderBy(*ORDER)
     marked = cold.select("*", F.row_number().over(ordered).alias("_rn"),
                          F.first("date_i").over(ordered).alias("_t0"),
@@ -127,7 +128,7 @@ def focal_panel(reviews: DataFrame, rule: CohortRule = CohortRule(), hot_rows: i
     The listing context needs every row, so the reviewer sample is taken after it.
     """
     context = sample_reviewers(listing_context(reviews, hot_rows), rule.per_1000)
-    focal = with_outcomes(context, rule, hot_rows)
+    focal = with_outcomes(context, rule, hot_rows, counted_on=sample_reviewers(reviews, rule.per_1000))
     date = F.date_from_unix_date("date_i")
     return focal.select(
         "reviewer_id", "review_id", "listing_id", "city_id", date.alias("date"), "date_i",

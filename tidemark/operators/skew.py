@@ -28,10 +28,13 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE,
     return df.sparkSession.createDataFrame(hot.collect(), hot.schema)
 
 
-def split_hot(df: DataFrame, keys: Sequence[str],
-              min_rows: int = HOT_MIN_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys, and rows of hot keys (None when no key is hot)."""
-    hot = hot_keys(df, keys, min_rows=min_rows)
+def split_hot(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_MIN_ROWS,
+              counted_on: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and rows of hot keys (None when no key is hot).
+
+    `counted_on` is a cheaper table with the same keys, such as the rows before a window.
+    """
+    hot = hot_keys(df if counted_on is None else counted_on, keys, min_rows=min_rows)
     if hot is None:
         return df, None
     few = F.broadcast(hot)
