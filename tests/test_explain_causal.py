@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import spline
 from tidemark.operators import causal as ca, explain as ex, learners as le, metrics as mt
-from tidemark.operators.features import FEATURES
+from tidemark.operators.features import CONSTRUCTS, FEATURES
 from tidemark.plans import study
 from tests.test_regress import analysis
 
@@ -133,6 +133,19 @@ def test_effects_of_all_constructs_in_two_passes_equal_single_fits(spark):
     assert every["SN"] == pytest.approx(theta, abs=1e-6) and every["BI"] > 0
 
 
+def ridge_logit_auc(pdf, cols):
+    """Test AUC of the logistic with half the squared weights added to the summed loss."""
+    train, test = pdf[pdf.split == "train"], pdf[pdf.split == "test"]
+    X, b = np.column_stack([np.ones(len(train)), train[cols]]), np.zeros(len(cols) + 1)
+    R = np.diag([0.0] + [1.0] * len(cols))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-X @ b))
+        b += np.linalg.solve((X * (p * (1 - p))[:, None]).T @ X + R, X.T @ (train.y - p) - R @ b)
+    s = test[cols].to_numpy() @ b[1:]
+    pos, neg = s[test.y == 1], s[test.y == 0]
+    return (pos[:, None] > neg).mean() + .5 * (pos[:, None] == neg).mean()
+
+
 def test_comparison_beats_the_majority(spark, tmp_path):
     df = analysis(spark, 900)
     few = {e.model: e for e in le.candidates(histogram_rounds=3, leaf_rounds=3, epochs=15, hidden=(5,))}
@@ -143,7 +156,10 @@ def test_comparison_beats_the_majority(spark, tmp_path):
     assert first.count() == 2
     table = {r["model"]: r for r in study.compare_models(df, "y_continue", book, keep, train_to=2015, validation_to=2016).collect()}
     assert len(table) == 5 and table["B0 majority class"]["test_auc"] == .5
-    assert table["M1 logistic regression"]["test_auc"] > .55 and table["B2 TPB-only"]["test_auc"] > .55
+    pdf = study.model_rows(df, "y_continue", train_to=2015, validation_to=2016).toPandas()
+    for model, cols in (("M1 logistic regression", FEATURES), ("B2 TPB-only", CONSTRUCTS)):
+        assert table[model]["test_auc"] == pytest.approx(ridge_logit_auc(pdf, cols), abs=1e-3)
+    assert table["B2 TPB-only"]["test_auc"] > .58
 
 
 def test_model_survives_saving_and_explains(spark, tmp_path):

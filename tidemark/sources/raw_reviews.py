@@ -1,33 +1,66 @@
-"""Raw review files: one CSV (plain or gzip) per city."""
+"""Raw review files: one CSV (plain or gzip) per city, columns found by name."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+import logging
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.scalar import slug, to_day, to_whole_number
 from tidemark.sources.tables import read_if_written
 
-RAW_SCHEMA = StructType([StructField(c, StringType()) for c in
-                         ("listing_id", "id", "date", "reviewer_id", "comments")])
+log = logging.getLogger(__name__)
+RAW = ["listing_id", "id", "date", "reviewer_id", "comments"]
 META = ["listing_id", "review_id", "reviewer_id", "date_i", "city_id"]
-OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "mode": "PERMISSIVE", "pathGlobFilter": "*.csv*"}
+OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "mode": "PERMISSIVE"}
+FILES = "*.{csv,csv.gz}"
 
 
-def scan(spark: SparkSession, folder: str, schema: StructType = RAW_SCHEMA) -> DataFrame:
-    """All columns as text with the file name; long rows are cut and short ones padded with nulls."""
-    rows = spark.read.schema(schema).options(**OPTIONS).csv(folder)
-    return rows.withColumn("file", F.col("_metadata.file_name"))
+def _name(encoded: Column) -> Column:
+    """File name as written on disk; only % escapes are undone."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
 
 
 def registry(spark: SparkSession, folder: str) -> DataFrame:
-    """(city_id, city, slug, file, bytes): files in name order, numbered from 0. Contents are not read."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv*").load(folder)
-             .select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes")))
-    city = F.regexp_replace(F.url_decode("file"), r"\.csv(\.gz)?$", "")
-    numbered = files.select((F.row_number().over(W.orderBy("file")) - 1).cast("short").alias("city_id"),
-                            city.alias("city"), F.url_decode("file").alias("file"), "bytes")   # one row per file
-    return numbered.withColumn("slug", slug("city"))
+    """(city_id, city, slug, file, bytes, path): files in name order, numbered from 0. Contents are not read."""
+    found = (spark.read.format("binaryFile").option("pathGlobFilter", FILES).load(folder)
+             .select(_name(F.col("_metadata.file_name")).alias("file"), F.col("length").alias("bytes"), "path"))
+    number = (F.row_number().over(W.orderBy("file")) - 1).cast("short")      # one row per file
+    city = F.regexp_replace("file", r"\.csv(\.gz)?$", "")
+    return found.select(number.alias("city_id"), city.alias("city"), slug(city).alias("slug"), "file", "bytes", "path")
+
+
+def layouts(spark: SparkSession, paths: Sequence[str], wanted: Sequence[str] = RAW) -> dict[str, tuple[str, ...]]:
+    """Header of every file that has the wanted columns; other files are reported and left out."""
+    found = {}
+    for path in paths:                                       # reads one line per file
+        names = tuple(spark.read.options(**OPTIONS).csv(path).columns)
+        missing = [c for c in wanted if c not in names]
+        if missing:
+            log.warning("left out %s: no column %s", path, missing)
+        else:
+            found[path] = names
+    return found
+
+
+def scan(spark: SparkSession, files: Mapping[str, Sequence[str]], wanted: Sequence[str] = RAW) -> DataFrame:
+    """The wanted columns of the files (path -> header) as text, with the file name.
+
+    Files with the same header are read together, so there is one scan per layout. Long
+    rows are cut and short ones padded with nulls.
+    """
+    same: dict[tuple[str, ...], list[str]] = {}
+    for path, names in files.items():
+        same.setdefault(tuple(names), []).append(path)
+    parts = [spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*wanted, "file"]))]
+    for names, paths in same.items():
+        schema = StructType([StructField(c, StringType()) for c in names])
+        rows = spark.read.schema(schema).options(**OPTIONS).csv(paths)
+        parts.append(rows.select(*wanted, _name(F.col("_metadata.file_name")).alias("file")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def with_city(rows: DataFrame, cities: DataFrame) -> DataFrame:
@@ -64,16 +97,29 @@ def texts(rows: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, folder: str, target: str) -> DataFrame:
     """Write the metadata of the cities not yet in `target`, one partition per city; return the table.
 
-    Dynamic partition overwrite makes a re-run of a half-written city replace it.
+    Text is not read. Dynamic partition overwrite makes a re-run of a half-written city
+    replace it; a city enters the written registry only after its rows are there, and an
+    unreadable file is tried again next time. Files that arrive later are numbered after the known ones, so no number ever changes.
     """
     cities = registry(spark, folder)
-    done = read_if_written(spark, f"{target}.done")
-    pending = cities if done is None else cities.join(F.broadcast(done.select("file")), "file", "left_anti")
-    files = [r["file"] for r in pending.select("file").collect()]     # a list of file names
-    if files:
-        rows = with_city(scan(spark, folder).filter(F.col("file").isin(files)), pending)
+    known = read_if_written(spark, f"{target}.cities")
+    if known is not None:
+        last = known.agg(F.max("city_id")).first()[0]
+        number = F.row_number().over(W.orderBy("file")) + F.lit(last)
+        cities = (cities.join(F.broadcast(known.select("file")), "file", "left_anti")
+                  .withColumn("city_id", number.cast("short")))
+    todo = cities.select("city_id", "city", "slug", "file", "bytes", "path").collect()       # one row per file
+    readable = layouts(spark, [r["path"] for r in todo], RAW[:4])
+    todo = [r for r in todo if r["path"] in readable]
+    if todo:
+        listed = spark.createDataFrame(todo, "city_id short, city string, slug string, file string, bytes long, path string")
+        rows = with_city(scan(spark, readable, RAW[:4]), listed)
         (metadata(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .option("compression", "zstd").partitionBy("city_id").parquet(target))
-        mark = pending.select("city_id", "file")
-        mark.write.mode("append").parquet(f"{target}.done")
+        listed.coalesce(1).write.mode("append").parquet(f"{target}.cities")
     return spark.read.parquet(target).select(*META)
+
+
+def written_registry(spark: SparkSession, target: str) -> DataFrame:
+    """The cities ingested into `target`, with the numbers they were given."""
+    return spark.read.parquet(f"{target}.cities")

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.measure import score_text
-from tidemark.sources.raw_reviews import OPTIONS, RAW_SCHEMA, metadata
+from tidemark.sources.raw_reviews import FILES, OPTIONS, RAW, metadata
 
 
-def ingest_new_files(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:
+def ingest_new_files(spark: SparkSession, folder: str, target: str, checkpoint: str,
+                     columns: Sequence[str] = RAW) -> StreamingQuery:
     """Process the files that arrived since the last run, then stop.
 
-    The checkpoint remembers the files, so each is read once even after a failure. Rows
-    keep their file name as the city, since numbers could shift as files arrive.
+    `columns` is the header of the files, in order. The checkpoint remembers the files,
+    so each is read once even after a failure. Rows keep their file name as the city,
+    since numbers could shift as files arrive.
     """
-    rows = (spark.readStream.schema(RAW_SCHEMA).options(**OPTIONS).csv(folder)
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    rows = (spark.readStream.schema(schema).options(**OPTIONS).option("pathGlobFilter", FILES).csv(folder)
             .withColumn("city_id", F.col("_metadata.file_name")))
     return (metadata(rows).withColumnRenamed("city_id", "file").writeStream.format("parquet")
             .option("path", target).option("checkpointLocation", checkpoint).partitionBy("file")
