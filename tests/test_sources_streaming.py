@@ -72,8 +72,9 @@ def test_raw_files_to_analysis_table(spark, tmp_path):
     raw = tmp_path / "raw"
     files(raw)
     rule = CohortRule(per_1000=1000, start_day=0, censor_day=20000)
-    rows = build_analysis(spark, str(raw), str(tmp_path / "work"), rule).collect()
-    assert [(r["review_id"], r["city"], r["hits_ATT"], r["y_revisit"]) for r in rows] == [(20, "Århus N", 1, 1)]
+    for name, short_cut in (("a", False), ("b", True)):
+        rows = build_analysis(spark, str(raw), str(tmp_path / name), rule, short_cut).collect()
+        assert [(r["review_id"], r["city"], r["hits_ATT"], r["y_revisit"]) for r in rows] == [(20, "Århus N", 1, 1)]
 
 
 def test_ledger_keeps_the_first_result(spark, tmp_path):

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import lexicon as lx, text as tx
+from tidemark.operators.skew import lookup_join
 
 
-def fetch_text(raw: DataFrame, focal: DataFrame, max_chars: int | None = lx.STORED_CHARS) -> DataFrame:
+def fetch_text(raw: DataFrame, focal: DataFrame, max_chars: int | None = lx.STORED_CHARS,
+               possible: Column | None = None) -> DataFrame:
     """(review_id, comments) of the raw rows whose (city_id, review_id) is in the cohort, copies included.
 
-    The cohort grows with the data, so neither side is broadcast by hint; a hot review
-    id is split by the adaptive skew join, which covers left semi joins.
+    Text is read late and only cohort rows are kept: by broadcast when the counted cohort
+    is small. Beyond that both sides shuffle, and the adaptive skew join splits a hot
+    review id. `possible` is a condition every wanted row is known to meet; it is applied
+    before the shuffle.
     """
-    kept = raw.join(focal.select("city_id", "review_id"), ["city_id", "review_id"], "left_semi")
+    rows = raw if possible is None else raw.filter(possible)
+    wanted = focal.select("city_id", "review_id")
+    kept = lookup_join(rows, wanted, ["city_id", "review_id"], "left_semi", hot_rows=None)
     return kept.select("review_id", tx.truncate(F.col("comments"), max_chars).alias("comments"))
 
 

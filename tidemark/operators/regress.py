@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.scalar import coefficient_cell
-from tidemark.operators.features import ANTECEDENTS, design_matrix
+from tidemark.operators.features import ANTECEDENTS, design_matrix, group_means, levels_of
+from tidemark.operators.skew import lookup_join
 
 CONST = "const"
 # Display names of the coefficient table, in its row order.
@@ -242,13 +243,13 @@ def fit_pair(df: DataFrame, outcome: str, mode: str = "count", city_means: bool
 def vary_within(df: DataFrame, by: str, outcome: str) -> DataFrame:
     """Rows of the groups in which the outcome takes at least two values."""
     groups = df.groupBy(by).agg(F.countDistinct(outcome).alias("_v")).filter(F.col("_v") >= 2)
-    return df.join(groups.select(by), by, "left_semi")
+    return lookup_join(df, groups.select(by), [by], "left_semi")
 
 
 def at_least_positives(df: DataFrame, by: str, outcome: str, least: int) -> DataFrame:
     """Rows of the groups with at least `least` positive outcomes."""
     groups = df.groupBy(by).agg(F.sum(outcome).alias("_p")).filter(F.col("_p") >= least)
-    return df.join(groups.select(by), by, "left_semi")
+    return lookup_join(df, groups.select(by), [by], "left_semi")
 
 
 def pair_table(spark, pair: PairFit) -> DataFrame:
@@ -326,7 +327,6 @@ def simple_slopes(df: DataFrame, y: str, x: Sequence[str], by: str) -> DataFrame
 
 def within_group_ols(df: DataFrame, y: str, x: Sequence[str], by: str) -> np.ndarray:
     """Slopes with one intercept per group, by removing group means instead of adding dummies."""
-    from tidemark.operators.features import group_means
     means = group_means(df.select(by, y, *x), by, [y, *x], "m_")
     centred = means.select(*[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in [*x, y]])
     g = gram(centred, [*x, y])
@@ -356,5 +356,4 @@ def strata_fits(df: DataFrame, stratum: str, y: str, x: Sequence[str], group: st
 
 
 def levels_of_strata(df: DataFrame, stratum: str) -> list[str]:
-    from tidemark.operators.features import levels_of
     return sorted(levels_of(df, stratum), key=lambda s: int(s.rstrip("+").split("-")[0]))

@@ -43,17 +43,19 @@ def split_hot(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_MIN_ROWS,
 
 def lookup_join(fact: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left",
                 broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS,
-                hot_rows: int = HOT_MIN_ROWS) -> DataFrame:
+                hot_rows: int | None = HOT_MIN_ROWS) -> DataFrame:
     """Join a lookup with unique `keys` to a skewed fact table.
 
     The lookup is broadcast when its counted size is within `broadcast_rows`. Beyond
-    that both sides shuffle, and the hot keys of the fact are spread over `salts`.
+    that both sides shuffle, and the hot keys of the fact are spread over `salts`. With
+    `hot_rows` None the fact is not counted first and splitting is left to the adaptive
+    skew join. A semi join may have repeated keys in the lookup.
     """
     keys = list(keys)
     lookup = lookup.persist()
     if lookup.count() <= broadcast_rows:
         return fact.join(F.broadcast(lookup), keys, how)
-    hot = hot_keys(fact, keys, min_rows=hot_rows)
+    hot = None if hot_rows is None else hot_keys(fact, keys, min_rows=hot_rows)
     if hot is None:
         return fact.join(lookup, keys, how)
     flags = F.broadcast(hot.withColumn("_hot", F.lit(True)))

@@ -89,8 +89,9 @@ def rejects(rows: DataFrame) -> DataFrame:
 
 
 def texts(rows: DataFrame) -> DataFrame:
-    """(city_id, review_id, comments) of the rows with a numeric id."""
-    return rows.select("city_id", to_whole_number(F.col("id")).alias("review_id"), "comments").filter(
+    """(city_id, review_id, reviewer_id, comments) of the rows with a numeric id."""
+    return rows.select("city_id", to_whole_number(F.col("id")).alias("review_id"),
+                       to_whole_number(F.col("reviewer_id")).alias("reviewer_id"), "comments").filter(
         F.col("review_id").isNotNull())
 
 
@@ -99,7 +100,8 @@ def ingest(spark: SparkSession, folder: str, target: str) -> DataFrame:
 
     Text is not read. Dynamic partition overwrite makes a re-run of a half-written city
     replace it; a city enters the written registry only after its rows are there, and an
-    unreadable file is tried again next time. Files that arrive later are numbered after the known ones, so no number ever changes.
+    unreadable file is tried again next time. Files that arrive later are numbered after
+    the known ones, so no number ever changes.
     """
     cities = registry(spark, folder)
     known = read_if_written(spark, f"{target}.cities")
