@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import inputs as I
 from catalog.registry import query
 from catalog.sql import using
+from tidemark.functions.spline import basis
 from tidemark.operators import causal as ca, explain as ex, learners as le, metrics as mt, regress as rg
 from tidemark.operators.features import CONSTRUCTS, FEATURES
 from tidemark.plans import study
@@ -48,6 +49,23 @@ def clustered_ols(spark, sf):
     return fit.table(spark).filter(F.col("variable") != rg.CONST).select("variable", "coef", "se")
 
 
+_COV = """covar_pop(hits_ATT, hits_ATT) AS aa, covar_pop(hits_SAT, hits_SAT) AS bb, covar_pop(hits_ATT, hits_SAT) AS ab,
+          covar_pop(hits_ATT, hits_BI) AS ay, covar_pop(hits_SAT, hits_BI) AS byy, count(*) AS n"""
+
+
+@query("length_strata_fits_a18", using("analysis", extra={
+    "t": """SELECT *, CASE WHEN n_tokens < 40 THEN '15-40' WHEN n_tokens < 70 THEN '40-70' WHEN n_tokens < 120 THEN '70-120'
+            ELSE '120+' END AS stratum FROM analysis""",
+    "v": f"SELECT stratum, {_COV} FROM t GROUP BY stratum UNION ALL SELECT 'ALL', {_COV} FROM t"}, body="""
+    SELECT stratum, n, round((bb * ay - ab * byy) / (aa * bb - ab * ab), 6) AS hits_ATT,
+           round((aa * byy - ab * ay) / (aa * bb - ab * ab), 6) AS hits_SAT FROM v"""))
+def length_strata_fits(spark, sf):
+    rows = I.analysis(spark, sf).withColumn("stratum", rg.length_stratum(F.col("n_tokens")))
+    fits = rg.strata_fits(rows, "stratum", "hits_BI", ["hits_ATT", "hits_SAT"], "city_id")
+    return spark.createDataFrame([(s, f.n, f.row("hits_ATT")[0], f.row("hits_SAT")[0]) for s, f in fits],
+                                 "stratum string, n long, hits_ATT double, hits_SAT double")
+
+
 # A logit on one 0/1 regressor reproduces the two cell rates, so everything has a closed form.
 _CELL = {
     "d": "SELECT city_id AS g, y_continue AS y, CASE WHEN n_tokens > 200 THEN 1 ELSE 0 END AS x FROM analysis",
@@ -201,6 +219,20 @@ def local_effects(spark, sf):
     return ex.local_effects(rows, ex.linear_scorer({"n_tokens": 0.01, "hits_BI": 0.3}), ["n_tokens"])
 
 
+_PIECES = """CASE WHEN u < 0 OR u >= 4 THEN 0 WHEN u < 1 THEN u ** 3 / 6 WHEN u < 2 THEN (-3 * u ** 3 + 12 * u ** 2 - 12 * u + 4) / 6
+             WHEN u < 3 THEN (3 * u ** 3 - 24 * u ** 2 + 60 * u - 44) / 6 ELSE (4 - u) ** 3 / 6 END"""
+
+
+@query("spline_basis_i4", using("analysis", extra={
+    "k": "SELECT min(n_tokens) AS lo, (max(n_tokens) - min(n_tokens)) / 5.0::DOUBLE AS h FROM analysis",
+    "z": """SELECT review_id, i, (n_tokens - lo) / h - (i - 3) AS u FROM analysis CROSS JOIN k CROSS JOIN range(0, 7) r(i)"""},
+    body=f"SELECT review_id, i, round({_PIECES}, 6) AS value FROM z"))
+def spline_basis(spark, sf):
+    rows = I.analysis(spark, sf)
+    low, high = rows.agg(F.min("n_tokens"), F.max("n_tokens")).first()
+    return rows.select("review_id", F.posexplode(basis(F.col("n_tokens"), low, high)).alias("i", "value"))
+
+
 @query("spline_shapes_i4_i5")
 def spline_shapes(spark, sf):
     rows = _model_rows(spark, sf).persist()

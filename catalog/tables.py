@@ -13,7 +13,7 @@ from tidemark.functions import lexicon as lx
 from tidemark.operators import describe as de, regress as rg
 from tidemark.operators.order_stats import hash_sample, running_centred
 from tidemark.session import require_checkpoint_dir
-from tidemark.sources import tables as tb
+from tidemark.sources import raw_reviews as rr, tables as tb
 
 
 def _scratch(spark) -> str:
@@ -232,3 +232,34 @@ def ledger(spark, sf):
     book.append(counts.filter(F.col("year") <= 1996))
     book.append(counts)
     return book.table()
+
+
+def _raw_files(spark, sf) -> str:
+    """The reviews with their texts as CSV files, dates and ids as text."""
+    docs = I.aug_documents(spark, sf)
+    n = docs.count()
+    rows = I.reviews(spark, sf).withColumn("doc_id", F.col("review_id") % F.lit(n)).join(docs, "doc_id").select(
+        "listing_id", F.col("review_id").alias("id"), F.date_from_unix_date("date_i").alias("date"), "reviewer_id",
+        F.lit("x").alias("reviewer_name"), F.col("text").alias("comments"))
+    path = _scratch(spark)
+    (rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+@query("csv_metadata_s1_s2_s4", using("reviews", body="SELECT review_id, listing_id, reviewer_id, date_i FROM reviews"))
+def csv_metadata(spark, sf):
+    """Written as CSV, read back by column name, coerced, and stored per file; the second call adds nothing."""
+    folder, target = _raw_files(spark, sf), _scratch(spark)
+    rr.ingest(spark, folder, target)
+    return rr.ingest(spark, folder, target).select("review_id", "listing_id", "reviewer_id", "date_i")
+
+
+@query("csv_texts_s1", using("reviews", "aug", body="""
+    SELECT review_id, md5(text) AS digest FROM reviews JOIN aug ON doc_id = review_id % (SELECT count(*) FROM documents)"""))
+def csv_texts(spark, sf):
+    """Texts with line breaks, quotes and commas survive the round trip."""
+    cities = rr.registry(spark, _raw_files(spark, sf))
+    paths = [r["path"] for r in cities.select("path").collect()]
+    texts = rr.texts(rr.with_city(rr.scan(spark, rr.layouts(spark, paths)), cities))
+    return texts.select("review_id", F.md5(F.col("comments").cast("binary")).alias("digest"))

@@ -1,9 +1,12 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import regress as rg
 from tidemark.operators.features import design_matrix, zscore
+from tidemark.plans import study
 
 
 def data(spark, seed=0, n=60, cities=5):
@@ -125,6 +128,17 @@ def test_strata_fits_cover_all_rows(spark):
     fits = rg.strata_fits(df, "stratum", "hits_BI", ["hits_ATT", "hits_SAT"], "city_id")
     assert [s for s, _ in fits] == ["15-40", "40-70", "70-120", "120+", "ALL"]
     assert sum(f.n for s, f in fits if s != "ALL") == fits[-1][1].n == 400
+    cells = rg.strata_table(spark, fits, ["hits_ATT", "hits_SAT"]).collect()
+    assert all(re.fullmatch(r"[+-]\d\.\d{4}\*{0,3}", r["hits_ATT"]) for r in cells)
+
+
+def test_one_specification_is_replaced(spark):
+    df = analysis(spark)
+    runs = study.robustness_samples(df, ["y_continue"], years=(2016,), largest=3, fixed_effects_rows=300)
+    table = study.summary(spark, runs)
+    assert [r["N"] for r in table.collect()][2] == 300 and table.filter("spec like 'R2%'").first()["cities"] == 3
+    again = study.rerun_spec(spark, table, "R3 destination FE", [("R3 destination FE", runs[0][1], 1.0)])
+    assert again.count() == 3 and again.filter("spec like 'R3%'").first()["N"] == runs[0][1].behaviour.n
 
 
 def test_constant_column_has_no_z_score(spark):

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.scalar import coefficient_cell
+from tidemark.functions.scalar import coefficient_cell, stars
 from tidemark.operators.features import ANTECEDENTS, design_matrix, group_means, levels_of
 from tidemark.operators.skew import lookup_join
 
@@ -355,5 +355,14 @@ def strata_fits(df: DataFrame, stratum: str, y: str, x: Sequence[str], group: st
     return fits
 
 
+def strata_table(spark, fits: Sequence[tuple[str, Fit]], x: Sequence[str]) -> DataFrame:
+    """stratum, n and one signed cell with stars (`-0.0975***`) per regressor."""
+    rows = [(s, f.n, *[v for c in x for v in (f.row(c)[0], f.row(c)[2])]) for s, f in fits]
+    raw = spark.createDataFrame(rows, "stratum string, n long, " + ", ".join(
+        f"c{i} double, p{i} double" for i in range(len(x))))
+    return raw.select("stratum", "n", *[
+        F.concat(F.format_string("%+.4f", f"c{i}"), stars(F.col(f"p{i}"))).alias(c) for i, c in enumerate(x)])
+
+
 def levels_of_strata(df: DataFrame, stratum: str) -> list[str]:
     return sorted(levels_of(df, stratum), key=lambda s: int(s.rstrip("+").split("-")[0]))
