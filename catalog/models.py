@@ -357,6 +357,6 @@ def effect_spread(spark, sf):
 
 
 @query("effect_by_city_c8_o2", using("analysis", extra=_GIVEN, body="""
-    SELECT city, count(*) AS n, round(avg(eff), 5) AS cate FROM gv GROUP BY city HAVING count(*) >= 35"""), digits=5)
+    SELECT city, count(*) AS n, round(avg(eff), 6) AS cate FROM gv GROUP BY city HAVING count(*) >= 35"""))
 def effect_by_city(spark, sf):
     return ca.effect_by_city(_given(spark, sf), "eff", least=35)
