@@ -114,3 +114,14 @@ def test_one_shuffle_on_the_reviewer(spark):
     df = spark.createDataFrame(random_rows(5, 300), SCHEMA)
     plan = co.with_outcomes(df, RULE)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(reviewer_id") == 1
+
+
+def test_pairs_add_up_to_the_counts(spark):
+    df = spark.createDataFrame(random_rows(13, 300), SCHEMA)
+    firsts = co.first_reviews(df).filter(co.is_eligible(F.col("date_i"), RULE))
+    counts = {r["reviewer_id"]: (r["n_future"], r["n_future_same"]) for r in co.with_outcomes(df, RULE).collect() if r["n_future"]}
+    pairs = co.window_pairs(firsts, df, RULE).groupBy("reviewer_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("listing_id") == F.col("l0")).alias("s"))
+    assert {r["reviewer_id"]: (r["n"], r["s"]) for r in pairs.collect()} == counts
+    mine = co.reviews_of(df, firsts)
+    assert mine.count() == df.join(firsts.select("reviewer_id"), "reviewer_id").count()

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.scalar import PERIOD_END, PERIOD_START, in_hash_sample, in_period
-from tidemark.operators.skew import HOT_MIN_ROWS, running_before, split_hot
+from tidemark.operators.skew import HOT_MIN_ROWS, lookup_join, running_before, split_hot
 
 KEYS = ["reviewer_id", "review_id", "listing_id", "city_id", "date_i"]
 ORDER = ["date_i", "review_id", "city_id", "listing_id"]
@@ -141,15 +141,19 @@ def focal_panel(reviews: DataFrame, rule: CohortRule = CohortRule(), hot_rows: i
 
 
 def reviews_of(reviews: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Rows of the reviewers in `cohort`; left to the optimizer, since the cohort grows with the data."""
-    return reviews.join(cohort.select("reviewer_id"), "reviewer_id", "left_semi")
+    """Rows of the reviewers in `cohort`, joined by its counted size."""
+    return lookup_join(reviews, cohort.select("reviewer_id"), ["reviewer_id"], "left_semi")
 
 
 def window_pairs(focal: DataFrame, reviews: DataFrame, rule: CohortRule, same_listing: bool = False) -> DataFrame:
-    """Each focal row with each later review of the same reviewer inside the window."""
+    """Each focal row with each later review of the same reviewer inside the window.
+
+    There is one focal row per reviewer, so the result never exceeds the reviews and the
+    focal rows serve as a lookup.
+    """
     f = focal.select("reviewer_id", F.col("date_i").alias("t0"), F.col("listing_id").alias("l0"))
     later = reviews.select("reviewer_id", "review_id", "listing_id", "date_i")
-    pairs = f.join(later, "reviewer_id").withColumn("gap", F.col("date_i") - F.col("t0"))
+    pairs = lookup_join(later, f, ["reviewer_id"], "inner").withColumn("gap", F.col("date_i") - F.col("t0"))
     pairs = pairs.filter(in_window(F.col("gap"), rule))
     return pairs.filter(F.col("listing_id") == F.col("l0")) if same_listing else pairs
 
