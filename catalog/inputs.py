@@ -56,11 +56,18 @@ def focal(spark: SparkSession, sf: str) -> DataFrame:
     return focal_panel(reviews(spark, sf), VIEW_RULE)
 
 
+_ANALYSIS: dict[tuple[str, str], DataFrame] = {}
+
+
 def analysis(spark: SparkSession, sf: str) -> DataFrame:
     """Cohort x text scores x city name; the review text is document review_id % count(documents).
 
-    Kept, because most models read their rows several times. In a study it is a written table.
+    Planned once per session and kept, because most models read their rows several times.
+    In a study it is a written table.
     """
-    docs = table(spark, sf, "documents").count()
-    rows = focal(spark, sf).withColumn("doc_id", F.col("review_id") % F.lit(docs))
-    return rows.join(features(spark, sf), "doc_id").join(F.broadcast(city_names(spark, sf)), "city_id").persist()
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ANALYSIS:
+        docs = table(spark, sf, "documents").count()
+        rows = focal(spark, sf).withColumn("doc_id", F.col("review_id") % F.lit(docs))
+        _ANALYSIS[key] = rows.join(features(spark, sf), "doc_id").join(F.broadcast(city_names(spark, sf)), "city_id")
+    return _ANALYSIS[key].persist()
