@@ -24,6 +24,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+"
 NATIONAL = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+BETWEEN = "(?!^)(?!$)"                        # every place between two characters
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 BYTES = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 
@@ -51,7 +52,7 @@ def luhn(digits: Column) -> Column:
     def term(d: Column, i: Column) -> Column:
         twice = d * 2
         return F.when(i % 2 == 0, d).when(twice > 9, twice - 9).otherwise(twice)
-    each = F.transform(F.split(F.reverse(digits), "(?!^)"), lambda c: c.cast("int"))
+    each = F.transform(F.split(F.reverse(digits), BETWEEN), lambda c: c.cast("int"))
     return F.aggregate(F.transform(each, term), F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
@@ -63,7 +64,7 @@ def mod97(iban: Column) -> Column:
     def fed(rest: Column, c: Column) -> Column:
         code = F.ascii(c)
         return F.when(code < 58, (rest * 10 + code - 48) % 97).otherwise((rest * 100 + code - 55) % 97)
-    return F.aggregate(F.split(moved, "(?!^)"), F.lit(0), fed) == 1
+    return F.aggregate(F.split(moved, BETWEEN), F.lit(0), fed) == 1
 
 
 def positioned(text: Column, pattern: str) -> Column:

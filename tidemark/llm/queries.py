@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, packing, pii, tokens
-from tidemark.llm.common import table
+from tidemark.llm import chat, fingerprint, packing, pii, quality, tokens
+from tidemark.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,6 +20,20 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf: str):
+    """Learned from labels whose document's fold (crc32 of the id modulo 4) isn't 2."""
+    labels = table(spark, sf, "labels").where(fold_of("doc_id", 4) != 2)
+    return quality.train(docs, labels, "quality")
+
+
+@query
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(spark, docs, sf))
+    return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of every document in sequences of at most 2048 tokens."""
@@ -38,6 +52,11 @@ def op5_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows))
 
 
+@query
+def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint.compare_with_edits(table(spark, sf, "documents"))
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf, "documents"), TOKENIZER)
