@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, fingerprint, packing, pii, quality, tokens
+from tidemark.llm import chat, fingerprint, jaccard, packing, pii, quality, tokens
 from tidemark.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,12 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf, "documents"), TOKENIZER)
 
 
+@query
+def op8_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles have Jaccard 0.9 or more."""
+    return jaccard.near_duplicates(table(spark, sf, "documents"), size=3, percent=90)
+
+
 @query
 def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data in every whole text; base kinds apart from what checksums and context words add."""

@@ -1,10 +1,10 @@
 """Token counts and token ids with a whole-token shortcut.
 
 Offline, every string of the vocabulary is encoded alone; those that give one token need no
-merging. A text is cut at ASCII white space, each chunk into pre-tokens, and a pre-token that
-was proven whole gives its id at once. Only the rest is merged, by the tokenizers library. The
-shortcut covers chunks of printable ASCII and of Latin letters, for which lower-casing and the
-pre-token pattern are plain; the library encodes all other chunks as they are.
+merging. A text is cut into pre-tokens, and one that was proven whole gives its id at once; only the
+rest is merged, by the library's model, and remembered. The shortcut covers printable ASCII and
+Latin letters, for which lower-casing and the pre-token pattern are plain; the library encodes
+every other chunk between ASCII white space as it is.
 
 Defined results: a null text counts as empty (no bytes, no tokens). A repeated row gives a
 repeated result. A text of any length is split without a limit. Other columns are kept out.
@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import byte_list
 
-#: Characters whose lower case, normal form and pattern class need no library.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PRETOKEN = re.compile("[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
-#: Entries of a worker's tables of known chunks and of known pre-tokens; a full table is emptied.
-KEPT, KEPT_PRETOKENS = 300_000, 600_000
+#: Texts whose lower case, normal form and pre-tokens need no library, if `'` and `<|` don't occur either.
+PLAIN = re.compile("[\\t-\\r -~À-ÖØ-öø-ÿ]*")
+PRETOKEN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+#: Merged pre-tokens that a worker keeps; a full table is emptied.
+KEPT = 800_000
 
 
 @lru_cache(maxsize=4)
@@ -55,7 +55,7 @@ def prove_whole(path: str) -> dict[str, int]:
         symbols = entry.removesuffix("</w>")
         if symbols and all(c in alphabet for c in symbols):
             text = bytes(alphabet[c] for c in symbols).decode("utf-8", "replace")
-            if PRETOKEN.fullmatch(text) and PLAIN.fullmatch(text) and "'" not in text:
+            if PRETOKEN.fullmatch(text) and "'" not in text and "<|" not in text:
                 candidates.add(text)
     ordered = sorted(candidates)
     encoded = tok.encode_batch(ordered, add_special_tokens=False)
@@ -63,38 +63,38 @@ def prove_whole(path: str) -> dict[str, int]:
 
 
 class Encoder(dict):
-    """Chunk (bytes without ASCII white space) -> its ids as little-endian unsigned 32-bit bytes."""
+    """Plain pre-token -> its ids as little-endian unsigned 32-bit bytes; whole tokens from the start."""
 
     def __init__(self, path: str, whole: dict[str, int]):
         self.tok = library(path)
+        self.model = self.tok.model
+        self.symbols = {b: c for c, b in _byte_alphabet().items()}
         self.whole = {text: np.uint32(i).tobytes() for text, i in whole.items()}
-        self.merged: dict[str, bytes] = {}
+        self.update(self.whole)
 
-    def _by_library(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _pretoken(self, text: str) -> bytes:
-        known = self.whole.get(text) or self.merged.get(text)
-        if known is None:
-            if len(self.merged) >= KEPT_PRETOKENS:
-                self.merged.clear()
-            known = self.merged[text] = self._by_library(text)
-        return known
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if PLAIN.fullmatch(text) and "'" not in text and "<|" not in text:
-            ids = b"".join(map(self._pretoken, PRETOKEN.findall(text.lower())))
-        else:
-            ids = self._by_library(text)
-        if len(chunk) <= 64:                            # a very long chunk is not worth keeping
+    def __missing__(self, text: str) -> bytes:
+        symbols = "".join(map(self.symbols.__getitem__, text.encode()))
+        ids = np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
+        if len(text) <= 40:                             # a very long one is not worth keeping
             if len(self) >= KEPT:
                 self.clear()
-            self[chunk] = ids
+                self.update(self.whole)
+            self[text] = ids
         return ids
 
+    def _ids(self, text: str) -> bytes:
+        if PLAIN.fullmatch(text) and "'" not in text and "<|" not in text:
+            return b"".join(map(self.__getitem__, PRETOKEN.findall(text.lower())))
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def ids(self, text: bytes | None) -> bytes:
-        return b"".join([self[c] for c in text.split()]) if text else b""
+        """Ids of a text. Where it isn't plain, the chunks between white space that aren't go to the library."""
+        if not text:
+            return b""
+        whole = text.decode("utf-8", "replace")
+        if PLAIN.fullmatch(whole) and "'" not in whole and "<|" not in whole:
+            return b"".join(map(self.__getitem__, PRETOKEN.findall(whole.lower())))
+        return b"".join([self._ids(c.decode("utf-8", "replace")) for c in text.split()])
 
 
 _ENCODERS: dict[str, Encoder] = {}
