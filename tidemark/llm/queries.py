@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, fingerprint, jaccard, packing, pii, quality, tokens
+from tidemark.llm import chat, fingerprint, jaccard, packing, pii, quality, repeats, tokens
 from tidemark.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Words left after removing windows of 20 words that also start earlier."""
+    return repeats.remove_repeats(table(spark, sf, "documents"), with_text=False).drop("kept")
+
+
 @query
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of every document in sequences of at most 2048 tokens."""
