@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, fingerprint, jaccard, packing, pii, quality, repeats, tokens
+from tidemark.llm import chat, contamination, fingerprint, jaccard, packing, pii, quality, repeats, tokens
 from tidemark.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,12 @@ def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf, "documents"), with_text=False).drop("kept")
 
 
+@query
+def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a benchmark item, word for word or paraphrased."""
+    return contamination.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of every document in sequences of at most 2048 tokens."""
