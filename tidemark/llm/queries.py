@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, contamination, fingerprint, jaccard, packing, pii, quality, repeats, tokens
+from tidemark.llm import chat, contamination, fingerprint, jaccard, lm, packing, pii, quality, repeats, tokens
 from tidemark.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,12 @@ def op8_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf, "documents"), size=3, percent=90)
 
 
+@query
+def op9_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all texts under a model of those whose fold (crc32 of the id modulo 7) isn't 2."""
+    return lm.score_texts(table(spark, sf, "documents"), fold_of("doc_id", 7) == 2)
+
+
 @query
 def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data in every whole text; base kinds apart from what checksums and context words add."""
