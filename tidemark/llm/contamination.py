@@ -213,67 +213,100 @@ def is_leak(share: float, answer: float) -> bool:
     return share >= SURE or share >= LIKELY and answer >= ANSWER
 
 
-def search(docs: DataFrame, items: list[Item], known: dict[bytes, int], weight: np.ndarray, space: np.ndarray) -> DataFrame:
-    """Leaks of the items in every document."""
-    q = (item_rows(items, known, weight) @ space).astype(np.float32)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = [masks_of(i.words) for i in items]
-        answers = [masks_of(i.answer) for i in items]
-        for b in batches:
-            docs_, raw, out = b.column(0).to_pylist(), byte_list(b.column(1)), []
-            for lo in range(0, len(raw), 256):
-                ids, block, first, words = _blocks(raw[lo:lo + 256], known)
-                if not len(ids):
-                    continue
-                rows, _, count = _block_rows(ids, block, int(first[-1]), weight, space)
-                y, held = _passage_sums(rows, first), _passage_sums(count, first)
-                at = np.flatnonzero(held >= 2)
-                y = y[at]
-                y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
-                text_of = np.searchsorted(first, at, side="right") - 1
-                best: dict[tuple[int, int], tuple] = {}
-                for c in range(0, len(at), 4096):
-                    near = y[c:c + 4096] @ q.T
-                    for p, i in zip(*np.nonzero(near >= COSINE)):
-                        t = int(text_of[c + p])
-                        begin = int(at[c + p] - first[t]) * BLOCK
-                        own, item = words[t], items[i]
-                        found = best_stretch(item, masks[i], answers[i], own, max(0, begin - BLOCK // 2),
-                                             min(len(own), begin + SPAN * BLOCK + BLOCK // 2))
-                        if is_leak(*found[:2]) and ((t, i) not in best or found[0] > best[t, i][1]):
-                            best[t, i] = (float(near[p, i]), *found)
-                out += [(docs_[lo + t], items[i].item_id, *v) for (t, i), v in sorted(best.items())]
-            cols = list(zip(*out)) if out else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
-
-    return docs.mapInArrow(run, FOUND)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
-    """Pairs of a document and a benchmark item that it holds, word for word or paraphrased."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+@dataclass
+class Searcher:
+    """What a task needs to find the leaks of a block of items."""
+
+    items: list[Item]
+    known: dict[bytes, int]
+    weight: np.ndarray
+    space: np.ndarray
+
+    def __post_init__(self) -> None:
+        q = (item_rows(self.items, self.known, self.weight) @ self.space).astype(np.float32)
+        self.q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
+        self.masks = [masks_of(i.words) for i in self.items]
+        self.answers = [masks_of(i.answer) for i in self.items]
+
+    def leaks(self, raw: list[bytes | None]) -> dict[tuple[int, int], tuple]:
+        """(number of the text, number of the item) -> cosine, LCS share, answer share, start, length."""
+        best: dict[tuple[int, int], tuple] = {}
+        ids, block, first, words = _blocks(raw, self.known)
+        if not len(ids):
+            return best
+        rows, _, count = _block_rows(ids, block, int(first[-1]), self.weight, self.space)
+        y, held = _passage_sums(rows, first), _passage_sums(count, first)
+        at = np.flatnonzero(held >= 2)
+        y = y[at]
+        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+        text_of = np.searchsorted(first, at, side="right") - 1
+        for c in range(0, len(at), 4096):
+            near = y[c:c + 4096] @ self.q.T
+            for p, i in zip(*(x.tolist() for x in np.nonzero(near >= COSINE))):
+                t = int(text_of[c + p])
+                begin = int(at[c + p] - first[t]) * BLOCK
+                found = best_stretch(self.items[i], self.masks[i], self.answers[i], words[t], max(0, begin - BLOCK // 2),
+                                     min(len(words[t]), begin + SPAN * BLOCK + BLOCK // 2))
+                if is_leak(*found[:2]) and ((t, i) not in best or found[0] > best[t, i][1]):
+                    best[t, i] = (float(near[p, i]), *found)
+        return best
+
+
+def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterator[Searcher]:
+    """One for each block of items, fitted to all documents."""
     listed = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
-    found = []
     blocks = max(1, -(-listed.count() // ITEMS))
     for k in range(blocks):
-        part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         items = [Item(i, w, answer_of(t.encode())) for i, t in part.collect() if (w := plain_words(t.encode()))]    # about ITEMS rows
         items.sort(key=lambda i: (i.item_id is not None, i.item_id or 0, i.words))
-        every = {w: n for n, w in enumerate(sorted({w for i in items for w in i.words}))}
-        if not every:
+        words = sorted({w for i in items for w in i.words})
+        if not words:
             continue
-        counts, total = block_counts(rows, every)
-        words = sorted(every)
+        every = {w: n for n, w in enumerate(words)}
+        counts, total = block_counts(docs, every)
         kept = {w for w in words if counts[every[w]] <= COMMON * total}
         for item in items:
             kept |= set(sorted(set(item.words), key=lambda w: (counts[every[w]], w))[:AT_LEAST])
         known = {w: n for n, w in enumerate(sorted(kept))}
         weight = np.log((total + 1) / (np.array([counts[every[w]] for w in sorted(kept)]) + 1)).astype(np.float32) + np.float32(0.01)
-        space = latent_space(rows, items, known, weight, rank)
-        found.append(search(rows, items, known, weight, space))
-    if not found:
-        return docs.sparkSession.createDataFrame([], FOUND)
-    return reduce(DataFrame.unionByName, found)
+        yield Searcher(items, known, weight, latent_space(docs, items, known, weight, rank))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds, word for word or paraphrased."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+
+    def runner(searcher: Searcher):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, raw, out = b.column(0).to_pylist(), byte_list(b.column(1)), []
+                for lo in range(0, len(raw), 256):
+                    best = searcher.leaks(raw[lo:lo + 256])
+                    out += [(ids[lo + t], searcher.items[i].item_id, *v) for (t, i), v in sorted(best.items())]
+                cols = list(zip(*out)) if out else [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
+        return run
+
+    found = [rows.mapInArrow(runner(s), FOUND) for s in searchers(rows, benchmark, rank)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], FOUND)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
+    """Rows of `docs`, all columns, that hold no benchmark item; found and dropped in the same stream."""
+    at = docs.columns.index("text")
+
+    def runner(searcher: Searcher):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                raw = byte_list(b.column(at))
+                clean = np.ones(len(raw), bool)
+                for lo in range(0, len(raw), 256):
+                    clean[[lo + t for t, _ in searcher.leaks(raw[lo:lo + 256])]] = False
+                yield b.filter(pa.array(clean))
+        return run
+
+    for s in list(searchers(docs, benchmark, rank)):
+        docs = docs.mapInArrow(runner(s), docs.schema)
+    return docs

@@ -153,3 +153,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], to: str = "score") -
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id long, `{to}` double")
+
+
+def keep(docs: DataFrame, model: tuple[np.ndarray, float], least: float) -> DataFrame:
+    """Rows of `docs`, all columns, whose text scores `least` or more; scored in the stream, without a shuffle."""
+    w, bias = model
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = byte_list(b.column(at))
+            found = [_scores(*features(texts[i:i + 256]), w, bias) for i in range(0, len(texts), 256)]
+            yield b.filter(pa.array(np.concatenate(found) >= least if found else [], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.llm.common import byte_list, hubs_and_spokes, pieces_of
@@ -92,6 +93,19 @@ def read_heads(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "text").mapInArrow(run, HEADS)
 
 
+def compressed(rows: DataFrame) -> DataFrame:
+    """doc and its text as zstandard bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(pack, byte_list(b.column(1))), pa.binary())], names=["doc", "text"])
+    return rows.select("doc", "text").mapInArrow(run, "doc long, text binary")
+
+
+def _opened(column: pa.Array) -> list[bytes]:
+    return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
+
+
 def read_anchors(rows: DataFrame) -> DataFrame:
     """text_id and every distinct anchor of its text; one that occurs twice in the text comes again under ~text_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +135,13 @@ def read_anchors(rows: DataFrame) -> DataFrame:
 
 
 def cut_stretches(rows: DataFrame) -> DataFrame:
-    """(doc, text, text_id, anchors) -> runs of windows that hold one of the anchors: doc, t, start (word), text (words).
+    """(doc, compressed text, text_id, anchors) -> runs of windows that hold one of the anchors: doc, t, start (word), text (words).
 
     Rows whose text isn't the one of text_id are left out: rows that share an id are told apart here.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, raw, ids, wanted = b.column(0).to_pylist(), byte_list(b.column(1)), b.column(2).to_pylist(), b.column(3)
+            docs, raw, ids, wanted = b.column(0).to_pylist(), _opened(b.column(1)), b.column(2).to_pylist(), b.column(3)
             for lo, hi in portions(raw):
                 hashes, counts = word_hashes(raw[lo:hi])
                 if len(hashes) < WINDOW:
@@ -247,7 +261,7 @@ def without(rows: DataFrame, spans: DataFrame, with_text: bool = True) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for doc, text, t, at in zip(b.column(0).to_pylist(), byte_list(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for doc, text, t, at in zip(b.column(0).to_pylist(), _opened(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 words = text.split()
                 tid = _text_id(hashlib.sha256(b" ".join(words)).digest())
                 if _short(tid) != t:
@@ -266,24 +280,25 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Per row doc_id, n_words, n_removed, kept_sha256, and `kept` if `with_text` (null: as it was)."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))
     rows = docs.select(doc.alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    heads = read_heads(rows)
+    heads = checkpointed(read_heads(rows))
     whole = heads.join(heads.groupBy("sha").agg(F.min("doc").alias("first")), "sha")
 
-    spread = read_anchors(rows).repartition("anchor")           # one shuffle for the count and the look-up
+    spread = read_anchors(rows)
     recurring = spread.groupBy("anchor").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo < hi").select("anchor")
     marked = spread.join(recurring, "anchor").groupBy("text_id").agg(F.collect_set("anchor").alias("anchors"))   # bounded by the row's length
     # Only the first row of each word sequence goes on.
     single = whole.where("doc = first").select("doc", "text_id").distinct()
-    stretches = checkpointed(cut_stretches(rows.join(single.join(marked, "text_id"), "doc")))
+    dense = compressed(rows)                                    # what the two joins with texts shuffle
+    stretches = checkpointed(cut_stretches(dense.join(single.join(marked, "text_id"), "doc")))
 
     size = stretches.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = pieces_of(size, SHARD_BYTES)
-    windows = windows_of(stretches).repartition("h")            # one shuffle for the count and the routes
-    phrases = phrases_of(windows)
+    windows = windows_of(stretches)
+    phrases = checkpointed(phrases_of(windows.repartition("h")))
     routes = (windows.select("h", "doc", "t").join(phrases.select("h", _shard("doc", shards).alias("hub")), "h")
               .select("doc", "t", "hub").distinct())
     spans = locate(with_phrase_text(phrases, stretches, shards), stretches, routes)
-    kept = without(rows, spans.distinct(), with_text).distinct()
+    kept = without(dense, spans.distinct(), with_text).distinct()
 
     copy = (F.col("doc") > F.col("first")) & (F.col("n_words") >= WINDOW)
     named = whole.join(kept, ["doc", "text_id"], "left")
