@@ -7,9 +7,10 @@ Documents are cut into blocks of `BLOCK` words; a passage is `SPAN` blocks in a
    carry no weight, but each item keeps at least its `AT_LEAST` rarest.
 2. Randomised SVD of the TF-IDF passages: with a random matrix O, every task sums A'(A O) over its
    passages A; the sum, with the items as further rows, spans the latent space after a QR step.
-3. Passages and items are compared in that space. Where the cosine is `COSINE` or more, stretches a little longer
-   than the item are compared by longest common subsequence. It is a leak if `SURE` of the item's words
-   are found in order, or `LIKELY` of them and `ANSWER` of its answer (its last sentence).
+3. Passages and items are compared in that space. Where the cosine is `COSINE` or more, and the passage holds
+   `RARE` of the item's weight, stretches a little longer than the item are compared by longest common
+   subsequence. It is a leak if `SURE` of the item's words are found in order, or `LIKELY` of them
+   and `ANSWER` of its answer (its last sentence).
 
 The benchmark is a stated query set: it goes to the tasks in blocks of at most `ITEMS` items, one
 search each, so what a task holds is bounded.
@@ -31,12 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import byte_list
+from tidemark.llm.hashing import FOLDED, SPACE, portions, word_hashes, word_places
 
-BLOCK, SPAN, RANK, ITEMS = 32, 3, 128, 5_000
-COMMON, AT_LEAST, COSINE = 0.01, 8, 0.35
+BLOCK, SPAN, RANK, ITEMS = 32, 3, 64, 5_000
+COMMON, AT_LEAST, COSINE, RARE = 0.01, 8, 0.4, 0.4
 SURE, LIKELY, ANSWER = 0.75, 0.5, 0.6
 PARTS = 16                                      # row blocks in which sums of tasks are added up
 PLAIN = bytes((32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b + 32 if 65 <= b <= 90 else b) for b in range(128)) + bytes(range(128, 256))
+BREAK = SPACE.copy()
+BREAK[[b for b in range(128) if PLAIN[b] == 32]] = True
+VALUES = np.where(BREAK, np.uint64(0), FOLDED)
 FOUND = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, start long, n_words long"
 
 
@@ -75,18 +80,53 @@ class Item:
     answer: list[bytes]
 
 
-def _blocks(texts: list[bytes | None], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Known word and block of each known token; first block of each text (one more at the end); the words."""
-    words = [plain_words(t) for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words))
+class Known:
+    """Numbers of known words, found by their hashes."""
+
+    def __init__(self, words: list[bytes]):
+        hashes = word_hashes([b" ".join(words)], VALUES)[0] if words else np.zeros(0, np.uint64)
+        self.order = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[hashes >> np.uint64(44)] = True
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of known words among the hashes, and their numbers."""
+        at = np.flatnonzero(self.seen[hashes >> np.uint64(44)])
+        place = np.minimum(np.searchsorted(self.hashes, hashes[at]), max(0, len(self) - 1))
+        hit = self.hashes[place] == hashes[at]
+        return at[hit], self.order[place[hit]]
+
+
+@dataclass
+class Cut:
+    """Texts cut into blocks: known word and block of each known token, the first block of each text and one more,
+    and what is needed to read words back."""
+
+    ids: np.ndarray
+    block: np.ndarray
+    first: np.ndarray
+    begin: np.ndarray
+    counts: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    whole: bytes
+
+    def words(self, text: int, lo: int, hi: int) -> list[bytes]:
+        at = self.begin[text]
+        return plain_words(self.whole[self.starts[at + lo]:self.ends[at + hi - 1]])
+
+
+def cut_texts(texts: list[bytes | None], known: Known) -> Cut:
+    hashes, n, starts, ends, whole = word_places([t or b"" for t in texts], VALUES, BREAK)
     first = np.concatenate([[0], np.cumsum(-(-n // BLOCK))])
-    ids = np.fromiter((known.get(w, -1) for own in words for w in own), np.int32, int(n.sum()))
-    at = np.flatnonzero(ids >= 0)
+    at, ids = known.numbers(hashes) if len(known) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
     begin = np.cumsum(n) - n
     text = np.searchsorted(begin, at, side="right") - 1
-    while len(at) and (n[text] == 0).any():                     # texts without words share a start
-        text = np.where(n[text] == 0, text - 1, text)
-    return ids[at], first[text] + (at - begin[text]) // BLOCK, first, words
+    return Cut(ids, first[text] + (at - begin[text]) // BLOCK, first, begin, n, starts, ends, whole)
 
 
 def _summed(parts: Iterator[pa.RecordBatch], dtype: str) -> np.ndarray:
@@ -106,47 +146,49 @@ def _add_up(sums: DataFrame, dtype: str) -> dict[int, np.ndarray]:
     return {r["part"]: np.frombuffer(r["sums"]) for r in sums.groupBy("part").applyInArrow(add, "part int, sums binary").collect()}
 
 
-def block_counts(docs: DataFrame, known: dict[bytes, int]) -> tuple[np.ndarray, int]:
+def block_counts(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, int]:
     """Blocks that hold each known word, and all blocks."""
-    size = len(known)
+    known, size = Known(words), len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size + 1, np.int64)
         for b in batches:
-            raw = byte_list(b.column(0))
-            for lo in range(0, len(raw), 512):
-                ids, block, first, _ = _blocks(raw[lo:lo + 512], known)
-                counts[:size] += np.bincount(np.unique(block * size + ids) % size, minlength=size)
-                counts[size] += first[-1]
+            raw = [t or b"" for t in byte_list(b.column(0))]
+            for lo, hi in portions(raw):
+                cut = cut_texts(raw[lo:hi], known)
+                counts[:size] += np.bincount(np.unique(cut.block * size + cut.ids) % size, minlength=size)
+                counts[size] += cut.first[-1]
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["part", "sums"])
 
     total = _add_up(docs.select("text").mapInArrow(run, "part int, sums binary"), "<i8").get(0, np.zeros(size + 1))
     return total[:size], int(total[size])
 
 
-def _passage_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of each block and the SPAN - 1 after it in the same text."""
-    out = rows.copy()
-    last = np.repeat(first[1:], np.diff(first))                  # the block after the text's last
-    at = np.arange(len(rows))
+def _passage_sums(rows: np.ndarray, first: np.ndarray, at: np.ndarray | None = None, step: int = 1) -> np.ndarray:
+    """For the blocks `at` (all by default), the sum of its row and of the SPAN - 1 after it (step -1: before it) in its text."""
+    every = np.arange(len(rows)) if at is None else at
+    text = np.searchsorted(first, every, side="right") - 1
+    out = rows[every]
     for k in range(1, SPAN):
-        ok = at + k < last
-        out[ok] += rows[at[ok] + k]
+        other = every + k * step
+        ok = other < first[text + 1] if step > 0 else other >= first[text]
+        out[ok] += rows[other[ok]]
     return out
 
 
-def _block_rows(ids: np.ndarray, block: np.ndarray, n: int, weight: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block_rows(cut: Cut, weight: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per block: weighted sum of the words' rows, sum of squared weights, number of known words."""
-    rows, square = np.zeros((n, space.shape[1]), np.float32), np.bincount(block, weight[ids] ** 2, minlength=n)
-    if len(ids):
-        edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        rows[block[edge]] = np.add.reduceat(space[ids] * weight[ids, None], edge, axis=0)
+    n, ids, block = int(cut.first[-1]), cut.ids, cut.block
+    rows, square = np.zeros((n, space.shape[1]), np.float32), np.bincount(block, weight[ids] ** 2, minlength=n).astype(np.float32)
+    edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    weighted = space * weight[:, None]
+    rows[block[edge]] = np.add.reduceat(weighted[ids], edge, axis=0)
     return rows, square, np.bincount(block, minlength=n)
 
 
-def latent_space(docs: DataFrame, items: list[Item], known: dict[bytes, int], weight: np.ndarray, rank: int) -> np.ndarray:
+def latent_space(docs: DataFrame, items: list[Item], words: list[bytes], weight: np.ndarray, rank: int) -> np.ndarray:
     """Orthonormal basis (known words x rank) of the leading row space of all TF-IDF passages and the items."""
-    size = len(known)
+    known, size = Known(words), len(words)
     rank = min(rank, size)
     omega = np.random.default_rng(11).standard_normal((size, rank)).astype(np.float32)
     per = -(-size // PARTS)
@@ -154,25 +196,18 @@ def latent_space(docs: DataFrame, items: list[Item], known: dict[bytes, int], we
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, rank), np.float32)
         for b in batches:
-            raw = byte_list(b.column(0))
-            for lo in range(0, len(raw), 256):
-                ids, block, first, _ = _blocks(raw[lo:lo + 256], known)
-                if not len(ids):
+            raw = [t or b"" for t in byte_list(b.column(0))]
+            for lo, hi in portions(raw):
+                cut = cut_texts(raw[lo:hi], known)
+                if not len(cut.ids):
                     continue
-                rows, square, _ = _block_rows(ids, block, int(first[-1]), weight, omega)
-                y, norm = _passage_sums(rows, first), _passage_sums(square, first)
-                y = (y / np.maximum(norm, 1e-9)[:, None])
-                # A word counts in every passage that holds its block: sums to the left, inside the text.
-                back = y.copy()
-                start = np.repeat(first[:-1], np.diff(first))
-                at = np.arange(len(y))
-                for k in range(1, SPAN):
-                    ok = at - k >= start
-                    back[ok] += y[at[ok] - k]
-                order = np.argsort(ids, kind="stable")
-                own = ids[order]
+                rows, square, _ = _block_rows(cut, weight, omega)
+                y = _passage_sums(rows, cut.first) / np.maximum(_passage_sums(square, cut.first), 1e-9)[:, None]
+                back = _passage_sums(y, cut.first, step=-1)     # a word counts in every passage that holds its block
+                order = np.argsort(cut.ids, kind="stable")
+                own = cut.ids[order]
                 edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                total[own[edge]] += np.add.reduceat(back[block[order]] * weight[own, None], edge, axis=0)
+                total[own[edge]] += np.add.reduceat(back[cut.block[order]] * weight[own, None], edge, axis=0)
         parts = [total[i * per:(i + 1) * per].tobytes() for i in range(PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "sums"])
 
@@ -180,29 +215,30 @@ def latent_space(docs: DataFrame, items: list[Item], known: dict[bytes, int], we
     sums = np.zeros((size, rank))
     for i, x in parts.items():
         sums[i * per:(i + 1) * per] = x.reshape(-1, rank)
-    q = item_rows(items, known, weight)
+    q = item_rows(items, words, weight)
     # The items weigh as much as the corpus, so that one which is rare there is in the space as well.
     own = q.T @ (q @ omega)
     sums = sums / max(np.linalg.norm(sums), 1e-9) + own / max(np.linalg.norm(own), 1e-9)
     return np.linalg.qr(sums)[0].astype(np.float32)
 
 
-def item_rows(items: list[Item], known: dict[bytes, int], weight: np.ndarray) -> np.ndarray:
-    q = np.zeros((len(items), len(known)))
+def item_rows(items: list[Item], words: list[bytes], weight: np.ndarray) -> np.ndarray:
+    place = {w: n for n, w in enumerate(words)}
+    q = np.zeros((len(items), len(words)))
     for i, item in enumerate(items):
         for w in item.words:
-            if w in known:
-                q[i, known[w]] += weight[known[w]]
+            if w in place:
+                q[i, place[w]] += weight[place[w]]
     return q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
 
 
-def best_stretch(item: Item, masks: dict[bytes, int], answer: dict[bytes, int], words: list[bytes], lo: int, hi: int) -> tuple[float, float, int, int]:
-    """(LCS share, answer share, start, length) of the stretch of words[lo:hi] that is most like the item."""
+def best_stretch(item: Item, masks: dict[bytes, int], answer: dict[bytes, int], words: list[bytes]) -> tuple[float, float, int, int]:
+    """(LCS share, answer share, start, length) of the stretch of the words that is most like the item."""
     size = len(item.words)
-    width = min(math.ceil(1.25 * size) + 3, hi - lo)
-    best = (0.0, 0.0, lo, width)
-    for at in range(lo, hi - width + max(1, size // 4), max(1, size // 4)):
-        at = min(at, hi - width)
+    width = min(math.ceil(1.25 * size) + 3, len(words))
+    best = (0.0, 0.0, 0, width)
+    for at in range(0, len(words) - width + max(1, size // 4), max(1, size // 4)):
+        at = min(at, len(words) - width)
         share = lcs(masks, size, words[at:at + width]) / size
         if share > best[0]:
             best = (share, lcs(answer, len(item.answer), words[at:at + width]) / max(1, len(item.answer)), at, width)
@@ -218,37 +254,48 @@ class Searcher:
     """What a task needs to find the leaks of a block of items."""
 
     items: list[Item]
-    known: dict[bytes, int]
+    words: list[bytes]                          # those with a weight
     weight: np.ndarray
     space: np.ndarray
 
     def __post_init__(self) -> None:
-        q = (item_rows(self.items, self.known, self.weight) @ self.space).astype(np.float32)
-        self.q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
+        q = (item_rows(self.items, self.words, self.weight) @ self.space).astype(np.float32)
+        # Scaled by what the space keeps of an item, the product with a passage of norm 1 estimates their cosine.
+        self.q = q / np.maximum((q ** 2).sum(axis=1, keepdims=True), 1e-6)
+        self.known = Known(self.words)
         self.masks = [masks_of(i.words) for i in self.items]
         self.answers = [masks_of(i.answer) for i in self.items]
+        own = dict(zip(self.words, self.weight.tolist()))
+        self.rare = [{w: own[w] for w in set(i.words) if w in own} for i in self.items]
+        self.least = [RARE * sum(r.values()) for r in self.rare]
 
     def leaks(self, raw: list[bytes | None]) -> dict[tuple[int, int], tuple]:
         """(number of the text, number of the item) -> cosine, LCS share, answer share, start, length."""
         best: dict[tuple[int, int], tuple] = {}
-        ids, block, first, words = _blocks(raw, self.known)
-        if not len(ids):
+        cut = cut_texts(raw, self.known)
+        if not len(cut.ids):
             return best
-        rows, _, count = _block_rows(ids, block, int(first[-1]), self.weight, self.space)
-        y, held = _passage_sums(rows, first), _passage_sums(count, first)
-        at = np.flatnonzero(held >= 2)
-        y = y[at]
-        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
-        text_of = np.searchsorted(first, at, side="right") - 1
+        rows, square, count = _block_rows(cut, self.weight, self.space)
+        at = np.flatnonzero(_passage_sums(count, cut.first) >= 2)
+        y = _passage_sums(rows, cut.first, at)
+        y /= np.sqrt(_passage_sums(square, cut.first, at))[:, None]
+        text_of = np.searchsorted(cut.first, at, side="right") - 1
         for c in range(0, len(at), 4096):
             near = y[c:c + 4096] @ self.q.T
+            last = -1
             for p, i in zip(*(x.tolist() for x in np.nonzero(near >= COSINE))):
-                t = int(text_of[c + p])
-                begin = int(at[c + p] - first[t]) * BLOCK
-                found = best_stretch(self.items[i], self.masks[i], self.answers[i], words[t], max(0, begin - BLOCK // 2),
-                                     min(len(words[t]), begin + SPAN * BLOCK + BLOCK // 2))
-                if is_leak(*found[:2]) and ((t, i) not in best or found[0] > best[t, i][1]):
-                    best[t, i] = (float(near[p, i]), *found)
+                if p != last:
+                    last, t = p, int(text_of[c + p])
+                    begin = int(at[c + p] - cut.first[t]) * BLOCK
+                    lo, hi = max(0, begin - BLOCK // 2), min(int(cut.counts[t]), begin + SPAN * BLOCK + BLOCK // 2)
+                    stretch = cut.words(t, lo, hi)
+                    here = set(stretch)
+                rare = self.rare[i]
+                if sum([rare[w] for w in here & rare.keys()]) < self.least[i]:
+                    continue
+                share, answer, start, n = best_stretch(self.items[i], self.masks[i], self.answers[i], stretch)
+                if is_leak(share, answer) and ((t, i) not in best or share > best[t, i][1]):
+                    best[t, i] = (float(near[p, i]), share, answer, lo + start, n)
         return best
 
 
@@ -263,14 +310,14 @@ def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterat
         words = sorted({w for i in items for w in i.words})
         if not words:
             continue
-        every = {w: n for n, w in enumerate(words)}
-        counts, total = block_counts(docs, every)
-        kept = {w for w in words if counts[every[w]] <= COMMON * total}
+        counts, total = block_counts(docs, words)
+        found = dict(zip(words, counts.tolist()))
+        kept = {w for w in words if found[w] <= COMMON * total}
         for item in items:
-            kept |= set(sorted(set(item.words), key=lambda w: (counts[every[w]], w))[:AT_LEAST])
-        known = {w: n for n, w in enumerate(sorted(kept))}
-        weight = np.log((total + 1) / (np.array([counts[every[w]] for w in sorted(kept)]) + 1)).astype(np.float32) + np.float32(0.01)
-        yield Searcher(items, known, weight, latent_space(docs, items, known, weight, rank))
+            kept |= set(sorted(set(item.words), key=lambda w: (found[w], w))[:AT_LEAST])
+        words = sorted(kept)
+        weight = np.log((total + 1) / (np.array([found[w] for w in words]) + 1)).astype(np.float32) + np.float32(0.01)
+        yield Searcher(items, words, weight, latent_space(docs, items, words, weight, rank))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:

@@ -29,10 +29,12 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def word_hashes(texts: list[bytes], values: np.ndarray = EXACT) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in order, and the number of words of each text."""
-    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    space = SPACE[buf]
+def word_places(texts: list[bytes], values: np.ndarray = EXACT, white: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """64-bit hashes of the words of all texts in order, the number of words of each text, and where each
+    word starts and ends in the texts joined by spaces (the last result). `white` bytes have the value 0."""
+    whole = b" ".join(texts) + b" "
+    buf = np.frombuffer(whole, np.uint8)
+    space = white[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
@@ -44,7 +46,12 @@ def word_hashes(texts: list[bytes], values: np.ndarray = EXACT) -> tuple[np.ndar
     total = np.cumsum(values[buf] * power[:len(buf)])
     before = np.where(starts > 0, total[starts - 1], np.uint64(0)) if len(starts) else total[:0]
     sums = (total[ends - 1] - before) * inverse[starts]
-    return mix(sums + (ends - starts).astype(np.uint64)), counts
+    return mix(sums + (ends - starts).astype(np.uint64)), counts, starts, ends, whole
+
+
+def word_hashes(texts: list[bytes], values: np.ndarray = EXACT) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and the number of words of each text."""
+    return word_places(texts, values)[:2]
 
 
 def shingles(texts: list[bytes], size: int, values: np.ndarray = EXACT) -> tuple[np.ndarray, np.ndarray]:
