@@ -63,11 +63,11 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
                regexp_replace(regexp_replace(text, '<br\s*/?>|\r|\n', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM aug"""),
     "split": (("cleaned",), "SELECT *, regexp_extract_all(lower(t), '[a-zA-Z'']+') AS toks FROM cleaned"),
     "judged": (("split",), f"""
-        SELECT *, len(list_filter(toks[1:{lx.LANGUAGE_TOKENS}], lambda w: list_contains({text_list(lx.STOP_WORDS)}, w)))
+        SELECT *, len(list_filter(toks, lambda w: list_contains({text_list(lx.STOP_WORDS)}, w)))
                       AS n_stop, regexp_matches(t, {_AUTO}, 'i') AS automated FROM split"""),
     "kept": (("judged",), f"""
         SELECT * FROM judged WHERE length(t) >= {lx.MIN_CHARS} AND NOT automated AND len(toks) >= {lx.MIN_TOKENS}
-                                   AND n_stop >= {lx.MIN_STOP_WORDS}"""),
+                                   AND n_stop * {lx.LANGUAGE_TOKENS} >= {lx.MIN_STOP_WORDS} * greatest(len(toks), {lx.LANGUAGE_TOKENS})"""),
     "words": (("kept",), "SELECT doc_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS i FROM kept"),
     "near": (("words",), """
         SELECT doc_id, w, lag(w, 1) OVER o AS w1, lag(w, 2) OVER o AS w2, lag(w, 3) OVER o AS w3 FROM words

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import inputs as I
 from catalog.registry import query
-from catalog.sql import text_literal, using
+from catalog.sql import text_list, text_literal, using
 from tidemark.functions import lexicon as lx, text as tx
 from tidemark.operators import measure as me
 
@@ -47,11 +47,12 @@ def token_counts(spark, sf):
                        (F.size("k") >= lx.MIN_TOKENS).cast("long").alias("enough"))
 
 
-@query("language_screen_t7", using("judged", body="""
-    SELECT doc_id, n_stop, CAST(n_stop >= 3 AS BIGINT) AS passes FROM judged"""))
+@query("language_screen_t7", using("split", body="""
+    SELECT doc_id, n AS n_stop, CAST(n >= 3 AS BIGINT) AS passes FROM (SELECT doc_id, len(list_filter(toks[1:80], lambda w: list_contains("""
+    + text_list(lx.STOP_WORDS) + """, w))) AS n FROM split)"""))
 def language_screen(spark, sf):
     toks = I.aug_documents(spark, sf).select("doc_id", F.explode(F.array(tx.tokens(tx.clean(F.col("text"))))).alias("k"))
-    n = tx.stop_word_count(F.col("k"))
+    n = tx.stop_word_count(F.col("k"), first=lx.LANGUAGE_TOKENS)      # the rule of the first tokens
     return toks.select("doc_id", n.alias("n_stop"), (n >= lx.MIN_STOP_WORDS).cast("long").alias("passes"))
 
 
@@ -92,7 +93,7 @@ def scored_text(spark, sf):
            count(*) FILTER (WHERE r = 'automated') AS n_automated, count(*) FILTER (WHERE r = 'few') AS n_few_tokens,
            count(*) FILTER (WHERE r = 'language') AS n_language
     FROM (SELECT source, CASE WHEN t IS NULL THEN 'missing' WHEN length(t) < 100 THEN 'short' WHEN automated THEN 'automated'
-                              WHEN len(toks) < 15 THEN 'few' WHEN n_stop < 3 THEN 'language' ELSE 'kept' END AS r FROM judged)
+                              WHEN len(toks) < 15 THEN 'few' WHEN n_stop * 80 < 3 * greatest(len(toks), 80) THEN 'language' ELSE 'kept' END AS r FROM judged)
     GROUP BY source"""))
 def screening_funnel(spark, sf):
     return me.screening_funnel(I.aug_documents(spark, sf), "text", "source")
@@ -103,8 +104,8 @@ def screening_funnel(spark, sf):
         SELECT conv_id, turn, t, regexp_extract_all(lower(t), '[a-zA-Z'']+') AS toks FROM (
             SELECT conv_id, turn, regexp_replace(regexp_replace(text, '<br\\s*/?>|\\r|\\n', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS t
             FROM conversations))
-    WHERE length(t) >= 20 AND len(toks) >= 3 AND len(list_filter(toks[1:80], lambda w: list_contains(
-        [""" + ", ".join(text_literal(w) for w in lx.STOP_WORDS) + """], w))) >= 1""")
+    WHERE length(t) >= 20 AND len(toks) >= 3 AND 80 * len(list_filter(toks, lambda w: list_contains(
+        [""" + ", ".join(text_literal(w) for w in lx.STOP_WORDS) + """], w))) >= greatest(len(toks), 80)""")
 def conversation_scores(spark, sf):
     """The same scorer over short turns, with looser screens."""
     turns = I.table(spark, sf, "conversations")

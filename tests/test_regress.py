@@ -63,6 +63,14 @@ def test_separated_outcome_is_refused(spark):
         rg.logit(df.withColumn("b", (F.col("x1") > 0).cast("double")), "b", ["x1", "x2"], "city")
 
 
+def test_one_empty_dummy_is_refused(spark):
+    df, *_ = data(spark, 3, n=600)
+    empty = df.withColumn("d", (F.pmod(F.xxhash64("x1"), F.lit(10)) == 0).cast("double")).withColumn(
+        "b", F.when(F.col("d") == 1, 0.0).otherwise(F.col("b")))
+    with pytest.raises(rg.NotConverged):
+        rg.logit(empty, "b", ["x1", "x2", "d"], "city")
+
+
 def test_groups_without_variation_are_left_out(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 1), (2, 0)], "city int, b int")
     assert {r["city"] for r in rg.vary_within(df, "city", "b").collect()} == {0}

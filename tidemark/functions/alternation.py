@@ -14,12 +14,25 @@ DEPTH = 2
 
 
 def merged(patterns: Sequence[str], depth: int = DEPTH) -> str:
-    alternatives = [a for p in patterns for a in opened(p)]
+    """One expression for all patterns, to be matched without regard to case."""
+    alternatives = [a for p in patterns for a in (opened(p) if is_single(p) else [f"(?:{p})"])]
     heads = {literal_head(a) for a in alternatives}
     guard = "" if "" in heads else "(?=[" + "".join(sorted(heads)) + "])"
     return guard + "(?:" + grouped(alternatives, depth) + ")"
 
 
+def is_single(pattern: str) -> bool:
+    """No alternative outside groups; where classes or escapes make that unclear, the answer is no."""
+    if "[" in pattern or "\\" in pattern:
+        return "|" not in pattern
+    depth = 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            return False
+    return True
+
+
 def opened(pattern: str) -> list[str]:
     """`(?:a|b)c` as `ac`, `bc` when the leading group is flat and not repeated; else the pattern itself."""
     if not pattern.startswith("(?:"):
@@ -33,7 +46,7 @@ def opened(pattern: str) -> list[str]:
 def literal_head(pattern: str) -> str:
     """The first character when it is a plain, unrepeated one, else nothing."""
     plain = pattern[:1].isalnum() or pattern[:1] in (" ", "'")
-    return pattern[:1] if plain and pattern[:1] and not pattern[1:].startswith(QUANTIFIERS) else ""
+    return pattern[:1].lower() if plain and pattern[:1] and not pattern[1:].startswith(QUANTIFIERS) else ""
 
 
 def grouped(alternatives: Sequence[str], depth: int) -> str:

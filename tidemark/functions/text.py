@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from tidemark.functions.alternation import merged
-from tidemark.functions.lexicon import AUTOMATED_POSTS, LANGUAGE_TOKENS, STOP_WORDS
+from tidemark.functions.lexicon import AUTOMATED_POSTS, LANGUAGE_TOKENS, MIN_STOP_WORDS, STOP_WORDS
 
 BREAKS = r"(?U)<br\s*/?>|\r|\n"
 EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -36,9 +36,15 @@ def is_automated(text: Column, phrases: Sequence[str] = AUTOMATED_POSTS) -> Colu
     return text.rlike("(?iu)" + "|".join(phrases))
 
 
-def stop_word_count(toks: Column, words: Sequence[str] = STOP_WORDS, first: int = LANGUAGE_TOKENS) -> Column:
-    """Occurrences of stop words among the first tokens."""
-    return F.size(F.filter(F.slice(toks, 1, first), lambda w: w.isin(list(words))))
+def stop_word_count(toks: Column, words: Sequence[str] = STOP_WORDS, first: int | None = None) -> Column:
+    """Occurrences of stop words among all tokens, or among the first ones."""
+    heard = toks if first is None else F.slice(toks, 1, first)
+    return F.size(F.filter(heard, lambda w: w.isin(list(words))))
+
+
+def is_in_language(toks: Column, least: int = MIN_STOP_WORDS, per: int = LANGUAGE_TOKENS) -> Column:
+    """At least `least` stop words for every `per` tokens of the whole text, and `least` in a shorter one."""
+    return stop_word_count(toks) * per >= F.greatest(F.size(toks), F.lit(per)) * least
 
 
 def count_char(text: Column, char: str) -> Column:

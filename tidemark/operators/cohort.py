@@ -14,6 +14,8 @@ from tidemark.operators.skew import HOT_MIN_ROWS, lookup_join, running_before, s
 
 KEYS = ["reviewer_id", "review_id", "listing_id", "city_id", "date_i"]
 ORDER = ["date_i", "review_id", "city_id", "listing_id"]
+# Copies of a row differ in their place in the listing only; the earlier one comes first.
+COPY_ORDER = [*ORDER, "listing_prior_reviews"]
 
 
 @dataclass(frozen=True)
@@ -36,27 +38,28 @@ def drop_copies(reviews: DataFrame, key: str) -> DataFrame:
 
 
 def listing_context(reviews: DataFrame, hot_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Add listing_prior_reviews, listing_first_date and copies, over all rows.
+    """Add listing_prior_reviews and listing_first_date, over all rows.
 
     Ordinary listings take one window. Listings holding a large share of the rows have
-    their copies counted first (copies > 1) and are then ranked over many tasks.
+    their copies counted, are ranked over many tasks and written out again copy by copy, so
+    both ways return the same rows.
     """
     per_listing = ["city_id", "listing_id"]
     base = reviews.select(*KEYS)
     cold, hot = split_hot(base, per_listing, min_rows=hot_rows)
-    by_date = W.partitionBy(*per_listing).orderBy("date_i", "review_id")
+    by_date = W.partitionBy(*per_listing).orderBy("date_i", "review_id", "reviewer_id")
     out = cold.select(
         *KEYS,
         (F.row_number().over(by_date) - 1).cast("long").alias("listing_prior_reviews"),
-        F.first("date_i").over(by_date).alias("listing_first_date"),
-        F.lit(1).cast("long").alias("copies"))
+        F.first("date_i").over(by_date).alias("listing_first_date"))
     if hot is None:
         return out
     distinct = hot.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("copies"))
     firsts = hot.groupBy(*per_listing).agg(F.min("date_i").alias("listing_first_date"))
     ranked = running_before(distinct, ["date_i", "review_id", "reviewer_id"], ["copies"], within=per_listing)
-    return out.unionByName(ranked.join(F.broadcast(firsts), per_listing).select(
-        *KEYS, F.col("before_copies").alias("listing_prior_reviews"), "listing_first_date", "copies"))
+    each = ranked.join(F.broadcast(firsts), per_listing).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.unionByName(each.select(
+        *KEYS, (F.col("before_copies") + F.col("_copy") - 1).alias("listing_prior_reviews"), "listing_first_date"))
 
 
 def sample_reviewers(reviews: DataFrame, per_1000: int) -> DataFrame:
@@ -91,7 +94,7 @@ def with_outcomes(reviews: DataFrame, rule: CohortRule, hot_rows: int = HOT_MIN_
     rows is reduced by combinable aggregates instead, so no task receives the group.
     """
     cold, hot = split_hot(reviews, ["reviewer_id"], hot_rows, counted_on)
-    ordered = W.partitionBy("reviewer_id").orderBy(*ORDER)
+    ordered = W.partitionBy("reviewer_id").orderBy(*[c for c in COPY_ORDER if c in reviews.columns])
     marked = cold.select("*", F.row_number().over(ordered).alias("_rn"),
                          F.first("date_i").over(ordered).alias("_t0"),
                          F.first("listing_id").over(ordered).alias("_l0"))
@@ -111,13 +114,13 @@ def with_outcomes(reviews: DataFrame, rule: CohortRule, hot_rows: int = HOT_MIN_
 def _outcome_counts(rows: DataFrame, keep: list[str], is_first: Column, rule: CohortRule) -> DataFrame:
     gap = F.col("date_i") - F.col("_t0")
     later = in_window(gap, rule)
-    weight = F.col("copies") if "copies" in keep else F.lit(1).cast("long")
+    one = F.lit(1).cast("long")
     zero = F.lit(0).cast("long")
     first = F.min(F.when(is_first, F.struct(*[c for c in keep if c != "reviewer_id"])))
     return (rows.groupBy("reviewer_id").agg(
         first.alias("f"),
-        F.sum(F.when(later, weight).otherwise(zero)).alias("n_future"),
-        F.sum(F.when(later & (F.col("listing_id") == F.col("_l0")), weight).otherwise(zero)).alias("n_future_same"),
+        F.sum(F.when(later, one).otherwise(zero)).alias("n_future"),
+        F.sum(F.when(later & (F.col("listing_id") == F.col("_l0")), one).otherwise(zero)).alias("n_future_same"),
         F.min(F.when(later, gap)).alias("days_to_next"))
         .select("reviewer_id", "f.*", "n_future", "n_future_same", "days_to_next"))
 

@@ -10,9 +10,9 @@ from tidemark.functions import lexicon as lx, text as tx
 from tidemark.operators.skew import lookup_join
 
 
-def fetch_text(raw: DataFrame, focal: DataFrame, max_chars: int | None = lx.STORED_CHARS,
+def fetch_text(raw: DataFrame, focal: DataFrame, max_chars: int | None = None,
                possible: Column | None = None) -> DataFrame:
-    """(review_id, comments) of the raw rows whose (city_id, review_id) is in the cohort, copies included.
+    """(city_id, review_id, comments) of the raw rows whose (city_id, review_id) is in the cohort, copies included.
 
     Text is read late and only cohort rows are kept: by broadcast when the counted cohort
     is small. Beyond that both sides shuffle, and the adaptive skew join splits a hot
@@ -22,7 +22,7 @@ def fetch_text(raw: DataFrame, focal: DataFrame, max_chars: int | None = lx.STOR
     rows = raw if possible is None else raw.filter(possible)
     wanted = focal.select("city_id", "review_id")
     kept = lookup_join(rows, wanted, ["city_id", "review_id"], "left_semi", hot_rows=None)
-    return kept.select("review_id", tx.truncate(F.col("comments"), max_chars).alias("comments"))
+    return kept.select("city_id", "review_id", tx.truncate(F.col("comments"), max_chars).alias("comments"))
 
 
 def screened(df: DataFrame, text_col: str, min_chars: int = lx.MIN_CHARS, min_tokens: int = lx.MIN_TOKENS,
@@ -35,7 +35,7 @@ def screened(df: DataFrame, text_col: str, min_chars: int = lx.MIN_CHARS, min_to
     short = cleaned.filter((F.length("_text") >= min_chars) & ~tx.is_automated(F.col("_text")))
     split = short.withColumn("_tokens", F.explode(F.array(tx.tokens(F.col("_text")))))
     return split.filter((F.size("_tokens") >= min_tokens)
-                        & (tx.stop_word_count(F.col("_tokens")) >= min_stop_words))
+                        & tx.is_in_language(F.col("_tokens"), min_stop_words))
 
 
 def drop_reason(df: DataFrame, text_col: str, min_chars: int = lx.MIN_CHARS, min_tokens: int = lx.MIN_TOKENS,
@@ -47,7 +47,7 @@ def drop_reason(df: DataFrame, text_col: str, min_chars: int = lx.MIN_CHARS, min
                             .when(F.length("_text") < min_chars, "short")
                             .when(tx.is_automated(F.col("_text")), "automated")
                             .when(F.size("_tokens") < min_tokens, "few_tokens")
-                            .when(tx.stop_word_count(F.col("_tokens")) < min_stop_words, "language")
+                            .when(~tx.is_in_language(F.col("_tokens"), min_stop_words), "language")
                             .otherwise("kept")).drop("_text", "_tokens")
 
 

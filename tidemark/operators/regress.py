@@ -153,18 +153,24 @@ def ols(df: DataFrame, y: str, x: Sequence[str], group: str, small_sample: bool
     return Fit(names, beta, cov, n, groups, {"rss": rss, "r2": 1 - rss / tss, "mean": float(g[0, k] / n)})
 
 
+#: Least mean of p (1 - p) over the rows of a regressor, weighted by its squares.
+VANISHED = 1e-6
+
+
 def logit(df: DataFrame, y: str, x: Sequence[str], group: str, max_iter: int = 200, tol: float = 1e-9,
           small_sample: bool = True) -> Fit:
     """Maximum likelihood by Newton steps, one pass over the cached rows per step.
 
     A step that lowers the likelihood is halved. Raises NotConverged when the gradient
-    does not vanish or the coefficients run away, as under separation.
+    does not vanish or a coefficient runs away, as under separation by any one regressor.
     """
     names = [CONST, *x]
     k = len(names)
     rows = _with_const(df).select(group, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*names, y])])
     rows = rows.persist()
 
+    squares = np.ones(k)
+
     def evaluate(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, float]:
         def block(m: np.ndarray) -> np.ndarray:
             z, t = m[:, :k], m[:, k]
@@ -172,8 +178,9 @@ def logit(df: DataFrame, y: str, x: Sequence[str], group: str, max_iter: int = 2
             p = 1.0 / (1.0 + np.exp(-eta))
             hess = (z * (p * (1 - p))[:, None]).T @ z
             ll = float(t @ eta - np.logaddexp(0.0, eta).sum())
-            return np.concatenate([hess.ravel(), z.T @ (t - p), [ll, len(t), t.sum()]])
-        s = _sum_cells(rows, [*names, y], block, k * k + k + 3)
+            return np.concatenate([hess.ravel(), z.T @ (t - p), (z * z).sum(axis=0), [ll, len(t), t.sum()]])
+        s = _sum_cells(rows, [*names, y], block, k * k + 2 * k + 3)
+        squares[:] = s[k * k + k:k * k + 2 * k]
         return s[:k * k].reshape(k, k), s[k * k:k * k + k], float(s[-3]), float(s[-2]), float(s[-1])
 
     beta, converged = np.zeros(k), False
@@ -193,7 +200,8 @@ def logit(df: DataFrame, y: str, x: Sequence[str], group: str, max_iter: int = 2
         hess, grad, ll = trial[0], trial[1], trial[2]
         if np.abs(beta).max() > 30 * max(1.0, math.log(n)):
             break
-    fitted_away = np.linalg.eigvalsh(hess)[-1] <= 1e-8 * n
+    # Where a regressor has weight, p (1 - p) must not have vanished: else its coefficient runs away.
+    fitted_away = (np.diag(hess) <= VANISHED * squares).any()
     if not converged or fitted_away:
         rows.unpersist()
         raise NotConverged(f"logit of {y} did not converge")

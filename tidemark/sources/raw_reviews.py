@@ -28,7 +28,7 @@ def registry(spark: SparkSession, folder: str) -> DataFrame:
     """(city_id, city, slug, file, bytes, path): files in name order, numbered from 0. Contents are not read."""
     found = (spark.read.format("binaryFile").option("pathGlobFilter", FILES).load(folder)
              .select(_name(F.col("_metadata.file_name")).alias("file"), F.col("length").alias("bytes"), "path"))
-    number = (F.row_number().over(W.orderBy("file")) - 1).cast("short")      # one row per file
+    number = (F.row_number().over(W.orderBy("file")) - 1).cast("int")        # one row per file
     city = F.regexp_replace("file", r"\.csv(\.gz)?$", "")
     return found.select(number.alias("city_id"), city.alias("city"), slug(city).alias("slug"), "file", "bytes", "path")
 
@@ -109,12 +109,12 @@ def ingest(spark: SparkSession, folder: str, target: str) -> DataFrame:
         last = known.agg(F.max("city_id")).first()[0]
         number = F.row_number().over(W.orderBy("file")) + F.lit(last)
         cities = (cities.join(F.broadcast(known.select("file")), "file", "left_anti")
-                  .withColumn("city_id", number.cast("short")))
+                  .withColumn("city_id", number.cast("int")))
     todo = cities.select("city_id", "city", "slug", "file", "bytes", "path").collect()       # one row per file
     readable = layouts(spark, [r["path"] for r in todo], RAW[:4])
     todo = [r for r in todo if r["path"] in readable]
     if todo:
-        listed = spark.createDataFrame(todo, "city_id short, city string, slug string, file string, bytes long, path string")
+        listed = spark.createDataFrame(todo, "city_id int, city string, slug string, file string, bytes long, path string")
         rows = with_city(scan(spark, readable, RAW[:4]), listed)
         (metadata(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .option("compression", "zstd").partitionBy("city_id").parquet(target))
