@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import chat, contamination, fingerprint, jaccard, lm, packing, pii, quality, repeats, tokens
 from tidemark.llm.common import fold_of, table
+from tidemark.llm.oracle import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
