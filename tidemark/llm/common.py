@@ -1,27 +1,17 @@
-"""Helpers shared by the corpus operators: words, Arrow columns, grouped streams."""
+"""Helpers shared by the corpus operators: Arrow columns, folds, hubs streamed ahead of their spokes."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Words are runs of anything but the six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def lowered(c: Column) -> Column:
-    """A-Z lower-cased, every other character as it is."""
-    return F.translate(c, UPPER, LOWER)
-
-
 def fold_of(c: str, folds: int) -> Column:
     """crc32 of the id written as text, modulo `folds`; a null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(c).cast("string")) % folds, F.lit(0))
@@ -32,15 +22,12 @@ def byte_list(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def hubs_and_spokes(hubs: DataFrame, spokes: DataFrame, per_task: int = 20_000) -> DataFrame:
     """Rows of `hubs` ahead of the rows of `spokes` with the same `hub`, in partitions sorted for streaming.
 
     Both hold a long `hub` besides the same columns. A hub with more than `per_task` spokes is
-    split over salts: its own rows are repeated for each salt, so no task gets all its spokes.
+    split over salts by a hash of the spoke's columns other than text, so a repeated task deals rows as before: the hub's
+    own rows are repeated for each salt, and no task gets all its spokes.
     Returns columns hub, salt, side (0 hub, 1 spoke) and the rest.
     """
     sizes = (spokes.groupBy("hub").agg(F.count(F.lit(1)).alias("_n"))
@@ -52,7 +39,7 @@ def hubs_and_spokes(hubs: DataFrame, spokes: DataFrame, per_task: int = 20_000)
     # Only hubs over the limit are looked up; the join's spoke side can be split by AQE.
     spoke_rows = (spokes.join(many, "hub", "left")
                   .withColumn("salt", F.when(F.col("_salts").isNull(), 0)
-                              .otherwise(F.floor(F.rand(7) * F.col("_salts")).cast("int")))
+                              .otherwise(F.pmod(F.xxhash64(*[c for c in rest if c != "text"]), F.col("_salts")).cast("int")))
                   .select("hub", "salt", F.lit(1).alias("side"), *rest))
     return (hub_rows.unionByName(spoke_rows).repartition("hub", "salt")
             .sortWithinPartitions("hub", "salt", "side"))
@@ -60,9 +47,3 @@ def hubs_and_spokes(hubs: DataFrame, spokes: DataFrame, per_task: int = 20_000)
 
 def pieces_of(total: int, size: int) -> int:
     return max(1, math.ceil(total / size))
-
-
-def empty_like(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-    return to_arrow_schema(_parse_datatype_string(schema))
