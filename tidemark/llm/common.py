@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -22,6 +24,22 @@ def byte_list(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def compressed(rows: DataFrame, id_col: str) -> DataFrame:
+    """A long id and its text as zstandard bytes, for joins that shuffle texts; a null text stays null."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            packed = [None if t is None else pack(t) for t in byte_list(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=[id_col, "text"])
+    return rows.select(id_col, "text").mapInArrow(run, f"`{id_col}` long, text binary")
+
+
+def opened(column: pa.Array) -> list[bytes]:
+    """Texts from what `compressed` made; empty where null."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(t) if t else b"" for t in column.to_pylist()]
+
+
 def hubs_and_spokes(hubs: DataFrame, spokes: DataFrame, per_task: int = 20_000) -> DataFrame:
     """Rows of `hubs` ahead of the rows of `spokes` with the same `hub`, in partitions sorted for streaming.
 

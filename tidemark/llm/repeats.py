@@ -28,10 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidemark.llm.common import byte_list, hubs_and_spokes, pieces_of
+from tidemark.llm.common import byte_list, compressed, hubs_and_spokes, opened, pieces_of
 from tidemark.llm.fingerprint import FIRST, mix
 from tidemark.llm.hashing import PLACES, portions, word_hashes
 from tidemark.session import checkpointed
@@ -93,19 +92,6 @@ def read_heads(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "text").mapInArrow(run, HEADS)
 
 
-def compressed(rows: DataFrame) -> DataFrame:
-    """doc and its text as zstandard bytes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(pack, byte_list(b.column(1))), pa.binary())], names=["doc", "text"])
-    return rows.select("doc", "text").mapInArrow(run, "doc long, text binary")
-
-
-def _opened(column: pa.Array) -> list[bytes]:
-    return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
-
-
 def read_anchors(rows: DataFrame) -> DataFrame:
     """text_id and every distinct anchor of its text; one that occurs twice in the text comes again under ~text_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +127,7 @@ def cut_stretches(rows: DataFrame) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, raw, ids, wanted = b.column(0).to_pylist(), _opened(b.column(1)), b.column(2).to_pylist(), b.column(3)
+            docs, raw, ids, wanted = b.column(0).to_pylist(), opened(b.column(1)), b.column(2).to_pylist(), b.column(3)
             for lo, hi in portions(raw):
                 hashes, counts = word_hashes(raw[lo:hi])
                 if len(hashes) < WINDOW:
@@ -261,7 +247,7 @@ def without(rows: DataFrame, spans: DataFrame, with_text: bool = True) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for doc, text, t, at in zip(b.column(0).to_pylist(), _opened(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for doc, text, t, at in zip(b.column(0).to_pylist(), opened(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 words = text.split()
                 tid = _text_id(hashlib.sha256(b" ".join(words)).digest())
                 if _short(tid) != t:
@@ -288,7 +274,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     marked = spread.join(recurring, "anchor").groupBy("text_id").agg(F.collect_set("anchor").alias("anchors"))   # bounded by the row's length
     # Only the first row of each word sequence goes on.
     single = whole.where("doc = first").select("doc", "text_id").distinct()
-    dense = compressed(rows)                                    # what the two joins with texts shuffle
+    dense = compressed(rows, "doc")                                    # what the two joins with texts shuffle
     stretches = checkpointed(cut_stretches(dense.join(single.join(marked, "text_id"), "doc")))
 
     size = stretches.agg(F.sum(F.length("text"))).first()[0] or 0
