@@ -20,3 +20,21 @@ def test_ngram_join_links_inside_a_group(spark, monkeypatch):
     sets = jaccard.shingle_sets(frame(spark, rows).select("doc_id", "text"), 3, 90).collect()
     assert any(len({r["head"] for r in sets if r["doc_id"] // 10 == k}) == 1 for k in range(60))
     assert by_id(jaccard.near_duplicates(frame(spark, rows), 3, 90), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_quality_reads_whole_chunks():
+    def features_of(text):
+        out, _, share = quality.features([text.encode()])
+        return sorted(out.tolist()), float(share.sum())
+
+    for start in ("字" * 70, "a" * 250, "aé" * 100, "-a" * 6, "x" + "😀" * 60):
+        assert features_of(start + "甲") != features_of(start + "乙"), start
+        assert features_of(start + "甲" * 400 + "丙") != features_of(start + "甲" * 400 + "丁"), start
+        assert abs(features_of(start * 30)[1] - 4) < 1e-9               # a vector's parts still sum to four
+    word = "字x" * 500
+    assert b"".join(quality._cut(word.encode())) == word.encode() and all(len(p) <= quality.WORD and p.decode() for p in quality._cut(word.encode()))
+    # Labels that hang on the ends of long chunks alone are learned.
+    texts = [("字" * 100 + f"{i % 7}" + ("好" * 80 if i % 2 else "坏" * 80)).encode() for i in range(200)]
+    y = np.array([i % 2 for i in range(200)], float)
+    w, bias = quality.ftrl(texts, y)
+    assert ((quality._scores(*quality.features(texts), len(texts), w, bias) >= 0.5) == (y == 1)).all()

@@ -1,10 +1,11 @@
 """Quality scores: logistic regression on hashed word n-grams, trained with FTRL updates.
 
 Every chunk between ASCII white space gives a word (lower case, outer punctuation off) and a shape
-(runs of capitals, small letters and digits as A, a, 0; other characters as they are). Features
+(runs of capitals, small letters and digits as A, a, 0; other characters as they are). A word of more than
+WORD bytes or a shape of more than SHAPE signs is read on in pieces of that size, none of which is left out. Features
 are words, word pairs, shapes and shape pairs, hashed to `2 ** BITS` weights; a pair of equal words
 is one feature of its own, which marks repetition. A document's vector is its feature counts
-divided by its number of chunks, so a score is one sparse dot product.
+divided by its number of words or of shapes, so a score is one sparse dot product.
 
 Training takes at most `max_rows` labelled documents, chosen by a hash of their id (documented
 bound), in up to SHARDS tasks. Each runs follow-the-regularised-leader (proximal) updates on
@@ -33,17 +34,37 @@ ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.02
 SCALE = 4.0                                     # of the share of a feature in a document
 SMALL, CAPITAL, DIGITS = re.compile("[a-zß-öø-ÿ]+"), re.compile("[A-ZÀ-ÖØ-Þ]+"), re.compile("[0-9]+")
 OUTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-KEPT = 400_000
+KEPT, WORD, SHAPE, MORE = 400_000, 200, 8, 0
+
+
+def _cut(word: bytes) -> list[bytes]:
+    """Successive pieces of at most WORD bytes that end between code points; together they are the word."""
+    out, at = [], 0
+    while len(word) - at > WORD:
+        stop = at + WORD
+        while word[stop] & 0xC0 == 0x80:
+            stop -= 1
+        out.append(word[at:stop])
+        at = stop
+    return [*out, word[at:]]
+
+
+def pieces(chunk: bytes) -> tuple[list[int], list[int]]:
+    """Hashes of all pieces of the chunk's word and of its shape."""
+    text = chunk.decode("utf-8", "replace")
+    word = text.lower().strip(OUTER).encode()
+    shape = DIGITS.sub("0", CAPITAL.sub("A", SMALL.sub("a", text)))
+    return [zlib.crc32(p) for p in _cut(word)], [zlib.crc32(shape[i:i + SHAPE].encode()) for i in range(0, len(shape), SHAPE)]
 
 
 class Chunks(dict):
-    """Chunk -> hash of its word in the high half, hash of its shape in the low half."""
+    """Chunk -> hash of its word in the high half, hash of its shape in the low half; MORE if either has several pieces."""
 
     def __missing__(self, chunk: bytes) -> int:
-        text = chunk[:200].decode("utf-8", "replace")
-        word = text.lower().strip(OUTER)
-        shape = DIGITS.sub("0", CAPITAL.sub("A", SMALL.sub("a", text)))[:8]
-        value = zlib.crc32(word.encode()) << 32 | zlib.crc32(shape.encode())
+        if len(chunk) > WORD:
+            return MORE                         # long ones aren't kept
+        words, shapes = pieces(chunk)
+        value = words[0] << 32 | shapes[0] if len(words) == len(shapes) == 1 else MORE
         if len(self) >= KEPT:
             self.clear()
         self[chunk] = value
@@ -58,31 +79,41 @@ def _spread(x: np.ndarray, salt: int) -> np.ndarray:
     return ((x + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
 
 
-def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers (4 per chunk, row-wise) of all texts and the number of chunks of each."""
+def _with_pieces(first: np.ndarray, more: np.ndarray, found: list[list[int]], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and their texts, all pieces in place of each chunk that has several."""
+    made = np.ones(len(first), np.int64)
+    made[more] = [len(f) for f in found]
+    out = np.repeat(first, made)
+    out[np.repeat(more, made)] = [h for f in found for h in f]
+    return out, np.repeat(doc, made)
+
+
+def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers of all texts, the text of each, and what each counts: 1 by the text's number of words or shapes."""
     chunks = [t.split() if t else [] for t in texts]
     n = np.fromiter(map(len, chunks), np.int64, len(chunks))
     both = np.fromiter((_CHUNKS[c] for own in chunks for c in own), np.uint64, int(n.sum()))
-    word, shape = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+    doc = np.repeat(np.arange(len(n)), n)
+    word, shape, more = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF), both == MORE
+    word_doc = shape_doc = doc
+    if more.any():
+        begin = np.cumsum(n) - n
+        found = [pieces(chunks[t][i]) for t, i in zip(doc[more].tolist(), (np.flatnonzero(more) - begin[doc[more]]).tolist())]
+        word, word_doc = _with_pieces(word, more, [w for w, _ in found], doc)
+        shape, shape_doc = _with_pieces(shape, more, [s for _, s in found], doc)
     k = np.uint64(0x100000001B3)
-    out = np.empty((len(both), 4), np.int32)
-    out[:, 0], out[:, 1] = _spread(word, 1), _spread(shape, 2)
-    if len(both):
-        before_w, before_s = np.roll(word, 1), np.roll(shape, 1)
-        starts = (np.cumsum(n) - n)[n > 0]
-        before_w[starts], before_s[starts] = 7, 7           # the first chunk follows a fixed mark
-        pair = before_w * k + word
-        pair[before_w == word] = 11
-        out[:, 2], out[:, 3] = _spread(pair, 3), _spread(before_s * k + shape, 4)
-    return out, n
-
-
-def _scores(out: np.ndarray, n: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
-    sums = np.zeros(len(n))
-    filled = n > 0
-    if filled.any():
-        starts = (np.cumsum(n) - n)[filled]
-        sums[filled] = np.add.reduceat(w[out].sum(axis=1), starts) * SCALE / n[filled]
+    before_w, before_s = np.roll(word, 1), np.roll(shape, 1)
+    for before, own in ((before_w, word_doc), (before_s, shape_doc)):
+        before[np.diff(own, prepend=-1) > 0] = 7            # the first one follows a fixed mark
+    pair = before_w * k + word
+    pair[before_w == word] = 11
+    out = np.concatenate([_spread(word, 1), _spread(shape, 2), _spread(pair, 3), _spread(before_s * k + shape, 4)]).astype(np.int32)
+    shares = [(1 / np.maximum(np.bincount(own, minlength=len(n)), 1))[own] for own in (word_doc, shape_doc)]
+    return out, np.concatenate([word_doc, shape_doc] * 2), np.concatenate(shares * 2)
+
+
+def _scores(out: np.ndarray, doc: np.ndarray, share: np.ndarray, size: int, w: np.ndarray, bias: float) -> np.ndarray:
+    sums = np.bincount(doc, w[out] * share, minlength=size) * SCALE
     return 1 / (1 + np.exp(-np.clip(sums + bias, -35, 35)))
 
 
@@ -95,10 +126,9 @@ def ftrl(texts: list[bytes | None], labels: np.ndarray) -> tuple[np.ndarray, flo
     order = np.random.default_rng(5)
     for _ in range(PASSES):
         for i in order.permutation(len(sets)):
-            (out, n), y = sets[i], ys[i]
-            miss = _scores(out, n, w, w[size]) - y
-            per_chunk = np.repeat(miss * SCALE / np.maximum(n, 1), n)
-            g = np.bincount(out.ravel(), np.repeat(per_chunk, 4), minlength=size + 1)
+            (out, doc, share), y = sets[i], ys[i]
+            miss = _scores(out, doc, share, len(y), w, w[size]) - y
+            g = np.bincount(out, miss[doc] * SCALE * share, minlength=size + 1)
             g[size] = miss.sum()
             at = np.flatnonzero(g)
             g = g[at]
@@ -147,7 +177,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], to: str = "score") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = byte_list(b.column(1))
-            found = [_scores(*features(texts[i:i + 256]), w, bias) for i in range(0, len(texts), 256)]
+            found = [_scores(*features(own), len(own), w, bias) for own in (texts[i:i + 256] for i in range(0, len(texts), 256))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(found) if found else [], pa.float64())],
                                              names=["doc_id", to])
 
@@ -163,7 +193,7 @@ def keep(docs: DataFrame, model: tuple[np.ndarray, float], least: float) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = byte_list(b.column(at))
-            found = [_scores(*features(texts[i:i + 256]), w, bias) for i in range(0, len(texts), 256)]
+            found = [_scores(*features(own), len(own), w, bias) for own in (texts[i:i + 256] for i in range(0, len(texts), 256))]
             yield b.filter(pa.array(np.concatenate(found) >= least if found else [], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
