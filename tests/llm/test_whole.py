@@ -4,7 +4,7 @@ import numpy as np
 
 from tests.llm import brute
 from tests.llm.test_operators import by_id, frame, prose
-from tidemark.llm import jaccard, quality
+from tidemark.llm import contamination, jaccard, quality
 
 
 def test_ngram_join_links_inside_a_group(spark, monkeypatch):
@@ -22,6 +22,22 @@ def test_ngram_join_links_inside_a_group(spark, monkeypatch):
     assert by_id(jaccard.near_duplicates(frame(spark, rows), 3, 90), "doc_id", "n_shingles", "component_id") == want
 
 
+def test_leaks_of_long_items(spark):
+    items = [(n, prose(2000 + n, n) + ".") for n in (65, 100, 130, 172, 200, 257, 400, 1000)]
+    words = {i: t.rstrip(".").split() for i, t in items}
+    rows, want = [], []
+    for i, w in words.items():
+        changed = [x if k % 5 else f"other{k}" for k, x in enumerate(w)]
+        for k, (before, own, leak) in enumerate(((0, w, True), (77, w, True), (40, changed, True), (30, w[:int(0.4 * i)], False))):
+            rows.append((10 * i + k, " ".join([prose(3000 + i + k, before), *own, prose(4000 + i + k, 50)])))
+            want += [(10 * i + k, i)] * leak
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = frame(spark, rows + [(100_000 + i, prose(5000 + i, 300)) for i in range(60)])
+    got = contamination.find_leaks(df, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted(want)
+    assert all(r["lcs_share"] == 1 for r in got if r["doc_id"] % 10 < 2)
+
+
 def test_quality_reads_whole_chunks():
     def features_of(text):
         out, _, share = quality.features([text.encode()])

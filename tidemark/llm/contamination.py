@@ -11,8 +11,11 @@ Documents are cut into blocks of `BLOCK` words; a passage is `SPAN` blocks in a
    `RARE` of the item's weight, stretches a little longer than the item are compared by longest common
    subsequence. It is a leak if `SURE` of the item's words are found in order, or `LIKELY` of them
    and `ANSWER` of its answer (its last sentence).
+   An item of more than `PART` words, which one passage need not hold, is searched by parts of so many words that overlap by
+   half. Passages like one of its parts are only candidates: the stretches around them, as wide as the item allows, are
+   joined where they overlap and compared with the whole item. The cosine is then the largest one of a part.
 
-The benchmark is a stated query set: it goes to the tasks in blocks of at most `ITEMS` items, one
+The benchmark is a stated query set: it goes to the tasks in blocks of about `ITEMS` items or parts of long ones, one
 search each, so what a task holds is bounded.
 
 Defined results: null or empty texts and items have no leak. Rows that repeat are reported each. Equal
@@ -35,6 +38,7 @@ from tidemark.llm.common import byte_list
 from tidemark.llm.hashing import FOLDED, SPACE, portions, word_hashes, word_places
 
 BLOCK, SPAN, RANK, ITEMS = 32, 3, 64, 5_000
+PART = (SPAN - 1) * BLOCK
 COMMON, AT_LEAST, COSINE, RARE = 0.01, 8, 0.4, 0.4
 SURE, LIKELY, ANSWER = 0.75, 0.5, 0.6
 PARTS = 16                                      # row blocks in which sums of tasks are added up
@@ -80,6 +84,15 @@ class Item:
     answer: list[bytes]
 
 
+def parts_of(item: Item) -> list[Item]:
+    """The item, or if it is long its parts of PART words; the last one ends with the item."""
+    n = len(item.words)
+    if n <= PART:
+        return [item]
+    starts = [*range(0, n - PART, PART // 2), n - PART]
+    return [Item(item.item_id, item.words[at:at + PART], item.answer) for at in starts]
+
+
 class Known:
     """Numbers of known words, found by their hashes."""
 
@@ -232,10 +245,15 @@ def item_rows(items: list[Item], words: list[bytes], weight: np.ndarray) -> np.n
     return q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
 
 
+def width_of(item: Item) -> int:
+    """Words of a stretch that is compared with the item."""
+    return math.ceil(1.25 * len(item.words)) + 3
+
+
 def best_stretch(item: Item, masks: dict[bytes, int], answer: dict[bytes, int], words: list[bytes]) -> tuple[float, float, int, int]:
     """(LCS share, answer share, start, length) of the stretch of the words that is most like the item."""
     size = len(item.words)
-    width = min(math.ceil(1.25 * size) + 3, len(words))
+    width = min(width_of(item), len(words))
     best = (0.0, 0.0, 0, width)
     for at in range(0, len(words) - width + max(1, size // 4), max(1, size // 4)):
         at = min(at, len(words) - width)
@@ -259,19 +277,22 @@ class Searcher:
     space: np.ndarray
 
     def __post_init__(self) -> None:
-        q = (item_rows(self.items, self.words, self.weight) @ self.space).astype(np.float32)
+        parts = [(k, part) for k, item in enumerate(self.items) for part in parts_of(item)]
+        self.whole = [k for k, _ in parts]      # the item of each part
+        q = (item_rows([part for _, part in parts], self.words, self.weight) @ self.space).astype(np.float32)
         # Scaled by what the space keeps of an item, the product with a passage of norm 1 estimates their cosine.
         self.q = q / np.maximum((q ** 2).sum(axis=1, keepdims=True), 1e-6)
         self.known = Known(self.words)
         self.masks = [masks_of(i.words) for i in self.items]
         self.answers = [masks_of(i.answer) for i in self.items]
         own = dict(zip(self.words, self.weight.tolist()))
-        self.rare = [{w: own[w] for w in set(i.words) if w in own} for i in self.items]
+        self.rare = [{w: own[w] for w in set(part.words) if w in own} for _, part in parts]
         self.least = [RARE * sum(r.values()) for r in self.rare]
 
     def leaks(self, raw: list[bytes | None]) -> dict[tuple[int, int], tuple]:
         """(number of the text, number of the item) -> cosine, LCS share, answer share, start, length."""
         best: dict[tuple[int, int], tuple] = {}
+        wide: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         cut = cut_texts(raw, self.known)
         if not len(cut.ids):
             return best
@@ -283,41 +304,65 @@ class Searcher:
         for c in range(0, len(at), 4096):
             near = y[c:c + 4096] @ self.q.T
             last = -1
-            for p, i in zip(*(x.tolist() for x in np.nonzero(near >= COSINE))):
+            for p, k in zip(*(x.tolist() for x in np.nonzero(near >= COSINE))):
                 if p != last:
                     last, t = p, int(text_of[c + p])
                     begin = int(at[c + p] - cut.first[t]) * BLOCK
                     lo, hi = max(0, begin - BLOCK // 2), min(int(cut.counts[t]), begin + SPAN * BLOCK + BLOCK // 2)
                     stretch = cut.words(t, lo, hi)
                     here = set(stretch)
-                rare = self.rare[i]
-                if sum([rare[w] for w in here & rare.keys()]) < self.least[i]:
+                rare = self.rare[k]
+                if sum([rare[w] for w in here & rare.keys()]) < self.least[k]:
+                    continue
+                i = self.whole[k]
+                if len(self.items[i].words) > PART:
+                    reach = width_of(self.items[i])
+                    wide.setdefault((t, i), []).append((max(0, lo - reach), min(int(cut.counts[t]), hi + reach), float(near[p, k])))
                     continue
                 share, answer, start, n = best_stretch(self.items[i], self.masks[i], self.answers[i], stretch)
                 if is_leak(share, answer) and ((t, i) not in best or share > best[t, i][1]):
-                    best[t, i] = (float(near[p, i]), share, answer, lo + start, n)
+                    best[t, i] = (float(near[p, k]), share, answer, lo + start, n)
+        for (t, i), found in wide.items():
+            for lo, hi, cosine in _joined(found):
+                share, answer, start, n = best_stretch(self.items[i], self.masks[i], self.answers[i], cut.words(t, lo, hi))
+                if is_leak(share, answer) and ((t, i) not in best or share > best[t, i][1]):
+                    best[t, i] = (cosine, share, answer, lo + start, n)
         return best
 
 
+def _joined(stretches: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Stretches with those that overlap made one, which has the largest cosine of them."""
+    out: list[tuple[int, int, float]] = []
+    for lo, hi, cosine in sorted(stretches):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]), max(cosine, out[-1][2]))
+        else:
+            out.append((lo, hi, cosine))
+    return out
+
+
 def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterator[Searcher]:
     """One for each block of items, fitted to all documents."""
     listed = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
-    blocks = max(1, -(-listed.count() // ITEMS))
+    n_words = F.size(F.split("text", r"[\s\p{Punct}]+"))
+    n_parts = F.when(n_words > PART, F.ceil((n_words - PART) / (PART // 2)) + 1).otherwise(1)
+    blocks = max(1, -(-(listed.agg(F.sum(n_parts)).first()[0] or 0) // ITEMS))
     for k in range(blocks):
         part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         items = [Item(i, w, answer_of(t.encode())) for i, t in part.collect() if (w := plain_words(t.encode()))]    # about ITEMS rows
         items.sort(key=lambda i: (i.item_id is not None, i.item_id or 0, i.words))
+        parts = [part for item in items for part in parts_of(item)]
         words = sorted({w for i in items for w in i.words})
         if not words:
             continue
         counts, total = block_counts(docs, words)
         found = dict(zip(words, counts.tolist()))
         kept = {w for w in words if found[w] <= COMMON * total}
-        for item in items:
-            kept |= set(sorted(set(item.words), key=lambda w: (found[w], w))[:AT_LEAST])
+        for part in parts:
+            kept |= set(sorted(set(part.words), key=lambda w: (found[w], w))[:AT_LEAST])
         words = sorted(kept)
         weight = np.log((total + 1) / (np.array([found[w] for w in words]) + 1)).astype(np.float32) + np.float32(0.01)
-        yield Searcher(items, words, weight, latent_space(docs, items, words, weight, rank))
+        yield Searcher(items, words, weight, latent_space(docs, parts, words, weight, rank))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
