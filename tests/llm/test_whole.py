@@ -54,3 +54,10 @@ def test_quality_reads_whole_chunks():
     y = np.array([i % 2 for i in range(200)], float)
     w, bias = quality.ftrl(texts, y)
     assert ((quality._scores(*quality.features(texts), len(texts), w, bias) >= 0.5) == (y == 1)).all()
+
+
+def test_pairs_across_components_leave_out_those_inside(spark):
+    rows = [(1, i, 20, 0, 0, 0) for i in range(50)] + [(1, 99, 20, 0, 99, 0), (2, 3, 20, 0, 0, 0), (2, 99, 20, 0, 99, 0), (2, 98, 20, 0, 98, 0)]
+    rest = spark.createDataFrame(rows, "shingle long, cls long, n int, place int, comp long, largest long")
+    assert jaccard._outside(rest).count() == 3
+    assert sorted(map(tuple, jaccard._across(rest, 90).collect())) == sorted([*((i, 99) for i in range(50)), (3, 98), (98, 99)])
