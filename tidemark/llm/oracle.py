@@ -83,4 +83,34 @@ SELECT d.doc_id, count(*) FILTER (WHERE k = 0) AS n_email, count(*) FILTER (WHER
        coalesce(string_agg(kind || ':' || pos || ':' || stop, ',' ORDER BY pos, k), '') AS spans
 FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id""")
 
-SQL = {"op2_substring_dedup": REPEATS, "op5_chat_formatting": CHATS, "op8_ngram_jaccard": COMPONENTS, "op10_pii": PERSONAL}
+
+# Eight hex digits as a number.
+_GROUP = "list_sum(list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', h[{0} + i]) - 1) * (16 ** (8 - i))::BIGINT))::BIGINT"
+FILLED = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+           sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (SELECT doc_id, t, u, len(u) AS n, {_GROUP.format(0)} % (len(u) + 1) AS x, {_GROUP.format(8)} % (len(u) + 1) AS y,
+      {_GROUP.format(24)} % 100 < 50 AS spm, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain FROM d),
+p AS (SELECT doc_id, t, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+      array_to_string(u[1:least(x, y)], '') AS a, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS b,
+      array_to_string(u[greatest(x, y) + 1:], '') AS c FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p"""
+
+NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, list_inner_product(a.x, r.x)::BIGINT AS score
+      FROM v a JOIN v r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+SQL = {"op2_substring_dedup": REPEATS, "op5_chat_formatting": CHATS, "op8_ngram_jaccard": COMPONENTS, "op10_pii": PERSONAL,
+       "op11_fill_in_middle": FILLED, "op12_hard_negatives": NEGATIVES}

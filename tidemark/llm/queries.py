@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, contamination, fingerprint, jaccard, lm, packing, pii, quality, repeats, tokens
+from tidemark.llm import (bpe, chat, contamination, fim, fingerprint, jaccard, lm, negatives, packing, pii, quality, repeats,
+                          tokens)
 from tidemark.llm.common import fold_of, table
 from tidemark.llm.oracle import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -94,3 +96,29 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     count = lambda i: F.size(F.filter("pii", lambda s: s["kind"] == i)).cast("long")
     return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:pii.BASE])],
                         F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text cut in three at lines, its parts reordered, and put back together."""
+    made = fim.fill_in_middle(table(spark, sf, "documents"), unit="line", seed=7, percent=100, percent_spm=50)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Negatives for every positive of the anchors, ids divisible by 100; a seventh of the labels is moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = negatives.mine(table(spark, sf, "embeddings"), F.col("id") % 100 == 0, label)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+@query
+def op13_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every whole text and the text that they decode to."""
+    coded = bpe.encode_texts(table(spark, sf, "documents"), BYTE_TOKENIZER, decoded=True)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
