@@ -29,7 +29,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def own():
-    return bpe.Codec(BYTES, bpe.pretoken_pattern(bpe.character_classes(BYTES)))
+    return bpe.Codec(BYTES, bpe.character_classes(BYTES))
 
 
 def test_encoding_equals_the_library(spark, library):
@@ -85,11 +85,11 @@ def test_merges_equal_the_plain_rule(own):
 
 def test_a_full_memory_and_unknown_files(own, monkeypatch, tmp_path):
     monkeypatch.setattr(bpe, "KEPT", 2)
-    small = bpe.Codec(BYTES, bpe.pretoken_pattern(bpe.character_classes(BYTES)))
+    small = bpe.Codec(BYTES, bpe.character_classes(BYTES))
     text = "some words that fill it again and again".encode()
     assert small.encode(text) == own.encode(text) and len(small) <= 2
     with pytest.raises(ValueError):
-        bpe.Codec(public_tokenizers.path("word_bpe_49k.json"), "a")
+        bpe.Codec(public_tokenizers.path("word_bpe_49k.json"), {})
 
 
 def filled(doc, text, unit="line", percent=100, percent_spm=50, seed=7):

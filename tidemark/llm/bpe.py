@@ -24,7 +24,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import byte_list
@@ -34,13 +33,14 @@ from tidemark.llm.tokens import _byte_alphabet
 #: Pre-tokens that a worker remembers, up to this many bytes each; a full table is emptied.
 KEPT, KEPT_BYTES = 800_000, 48
 #: The endings that the byte-level pattern splits off.
-ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-_ASCII = re.compile(ENDINGS + r"| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+ENDINGS = "'(?:[stmd]|re|ve|ll)"
+BMP = 0xFFFF
+_BEYOND = re.compile("[\U00010000-\U0010ffff]").search
 
 
 @lru_cache(maxsize=4)
-def character_classes(path: str) -> tuple[str, str, str]:
-    """Letters, numbers and white space as the file's own pre-tokenizer takes them, as insides of character classes.
+def character_classes(path: str) -> dict[str, list[tuple[int, int]]]:
+    """Ranges of letters ("a"), numbers ("1"), white space ("") and the rest ("-") as the file's own pre-tokenizer takes them.
 
     All code points but the blank and `'`, which the pattern treats apart, are shown to the library in order. Each
     pre-token is then a run of one class, told by whether its first character stays with a letter, a number or a sign.
@@ -48,27 +48,28 @@ def character_classes(path: str) -> tuple[str, str, str]:
     from tokenizers import Tokenizer
     cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c not in (32, 39)]
-    classes: dict[str, list[str]] = {"a": [], "1": [], "-": [], "": ["\\x20"]}
+    classes: dict[str, list[tuple[int, int]]] = {"a": [], "1": [], "-": [], "": [(32, 32)]}
     for at in range(0, len(points), 4096):
         part = points[at:at + 4096]
         for _, (lo, hi) in cut("".join(map(chr, part))):
             first = chr(part[lo])
             kind = next((k for k in "a1-" if len(cut(k + first)) == 1), "")
             for run in np.split(np.array(part[lo:hi]), np.flatnonzero(np.diff(part[lo:hi]) > 1) + 1):
-                classes[kind].append(f"\\U{run[0]:08x}-\\U{run[-1]:08x}")
-    return "".join(classes["a"]), "".join(classes["1"]), "".join(classes[""])
+                classes[kind].append((int(run[0]), int(run[-1])))
+    return classes
 
 
-def pretoken_pattern(classes: tuple[str, str, str]) -> str:
-    letters, numbers, spaces = classes
-    return (f"{ENDINGS}| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+"
+def pretoken_pattern(classes: dict[str, list[tuple[int, int]]], last: int = 0x10FFFF) -> str:
+    """The byte-level pattern with its classes written out up to the code point `last`; letters, the most frequent, come first."""
+    letters, numbers, spaces = ("".join(f"\\U{lo:08x}-\\U{min(hi, last):08x}" for lo, hi in classes[k] if lo <= last) for k in ("a", "1", ""))
+    return (f" ?[{letters}]+| ?[{numbers}]+|{ENDINGS}| ?[^{spaces}{letters}{numbers}]+"
             f"|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
 
 
 class Codec(dict):
     """Pre-token -> its ids as little-endian unsigned 32-bit bytes, filled as they come."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, classes: dict[str, list[tuple[int, int]]]):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, before = spec["model"], spec["pre_tokenizer"]
@@ -92,7 +93,12 @@ class Codec(dict):
             self.strings[i] = s.encode()
         self.special = {s: np.uint32(i).tobytes() for s, i in special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.cut = regex.compile(pattern).findall
+        # Without code points beyond the basic plane the classes are plain tables, far quicker than lists of ranges.
+        self.basic, self.whole = (re.compile(pretoken_pattern(classes, last)).findall for last in (BMP, 0x10FFFF))
+
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings."""
+        return self.whole(text) if _BEYOND(text) else self.basic(text)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Ids after all merges of a pre-token's symbols."""
@@ -139,7 +145,7 @@ class Codec(dict):
         own = self.special.get(text)
         if own is not None:
             return own
-        return b"".join(map(self.__getitem__, _ASCII.findall(text) if text.isascii() else self.cut(text)))
+        return b"".join(map(self.__getitem__, self.cut(text)))
 
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a text, four bytes each."""
@@ -154,23 +160,23 @@ class Codec(dict):
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, classes: dict[str, list[tuple[int, int]]]) -> Codec:
     """One per Python worker, so that what it remembers lasts over tasks."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    if path not in _CODECS:
+        _CODECS[path] = Codec(path, classes)
+    return _CODECS[path]
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, decoded: bool = False, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """Per row: id, ids (array of int) and, if asked for, `decoded`, the text that the ids decode to."""
-    pattern = pretoken_pattern(character_classes(tokenizer_path))
+    classes = character_classes(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(tokenizer_path, pattern)
+        own = codec(tokenizer_path, classes)
         for b in batches:
             texts = byte_list(b.column(1))
             for lo, hi in portions([t or b"" for t in texts], 1 << 22):
@@ -190,10 +196,10 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, decoded: bool = False, id
 
 def decode_ids(rows: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row: id and the text of its ids."""
-    pattern = pretoken_pattern(character_classes(tokenizer_path))
+    classes = character_classes(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(tokenizer_path, pattern)
+        own = codec(tokenizer_path, classes)
         known = range(len(own.strings))
         for b in batches:
             texts = [None if ids is None else own.decode([i for i in ids if i in known]) for ids in b.column(1).to_pylist()]
