@@ -127,13 +127,42 @@ def mediation(spark, sf):
 
 @query("measurement_modes_m9")
 def measurement_modes(spark, sf):
-    return study.summary(spark, study.robustness_modes(I.analysis(spark, sf), ["y_continue"])).drop("seconds")
+    return study.summary(spark, study.robustness_modes(I.analysis(spark, sf))).drop("seconds")
 
 
 @query("sample_robustness_m10_m12")
 def sample_robustness(spark, sf):
-    rows = I.analysis(spark, sf)
-    return study.summary(spark, study.robustness_samples(rows, ["y_continue"], years=(1997,), largest=10)).drop("seconds")
+    runs = study.robustness_samples(I.analysis(spark, sf), years=(1997,), largest=10)
+    return study.summary(spark, runs).drop("seconds")
+
+
+# The samples of both equations; a year whose outcome never varies goes with its rows, the first year is no dummy.
+_OUTCOMES = [("y_revisit", "y_revisit"), ("y_continue", "y_continue")]
+_SAMPLES = {
+    "big": "SELECT city FROM analysis GROUP BY city ORDER BY count(*) DESC, city LIMIT 10",
+    "long": " UNION ALL ".join(f"SELECT '{y}' AS outcome, city_id, city, year, reviewer_id, {y}::DOUBLE AS y FROM analysis" for y, _ in _OUTCOMES),
+    "picked": """SELECT *, 'R1 exclude years' AS spec FROM long WHERE year <> 1997 UNION ALL
+        SELECT *, 'R2 largest destinations' FROM long WHERE city IN (SELECT city FROM big) UNION ALL
+        SELECT *, 'R3 destination FE' FROM long QUALIFY min(y) OVER (PARTITION BY outcome, city_id) < max(y) OVER (PARTITION BY outcome, city_id)""",
+    "dated": """SELECT * FROM picked QUALIFY year = min(year) OVER (PARTITION BY spec, outcome)
+               OR min(y) OVER (PARTITION BY spec, outcome, year) < max(y) OVER (PARTITION BY spec, outcome, year)""",
+    "used": """SELECT * FROM dated QUALIFY spec NOT LIKE 'R3%' OR min(y) OVER (PARTITION BY spec, outcome, city_id) < max(y) OVER (PARTITION BY spec, outcome, city_id)""",
+    "given": """SELECT 'R1 exclude years' AS spec, outcome, count(*) AS n FROM long WHERE year <> 1997 GROUP BY outcome UNION ALL
+        SELECT 'R2 largest destinations', outcome, count(*) FROM long WHERE city IN (SELECT city FROM big) GROUP BY outcome UNION ALL
+        SELECT 'R3 destination FE', outcome, count(*) FROM long GROUP BY outcome""",
+}
+
+
+@query("fitted_samples_m5_m10_m11", using("analysis", extra=_SAMPLES, body="""
+    SELECT spec, outcome, count(*) AS n, max(g.n) - count(*) AS left_out, count(DISTINCT city_id) AS cities, round(avg(y), 6) AS base_rate,
+           0.0::DOUBLE AS largest_score FROM used JOIN given g USING (spec, outcome) GROUP BY spec, outcome"""))
+def fitted_samples(spark, sf):
+    """Sample of every behaviour fit, the rows it lost with cities and dummies that fix the outcome, and the largest of its
+    score equations a row: zero where the likelihood is at its maximum."""
+    runs = study.robustness_samples(I.analysis(spark, sf), years=(1997,), largest=10)
+    rows = [(spec, p.outcome, p.behaviour.n, sum(r for *_, r in p.left_out), p.behaviour.groups, p.behaviour.stats["mean"],
+             p.behaviour.stats["gradient"] / p.behaviour.n) for spec, p, _ in runs]
+    return spark.createDataFrame(rows, "spec string, outcome string, n long, left_out long, cities long, base_rate double, largest_score double")
 
 
 @query("majority_baseline_l2", using("analysis", body="""

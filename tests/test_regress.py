@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import regress as rg
+from tidemark.operators import absorbed, regress as rg
 from tidemark.operators.features import design_matrix, zscore
 from tidemark.plans import study
 
@@ -151,3 +151,125 @@ def test_one_specification_is_replaced(spark):
 
 def test_constant_column_has_no_z_score(spark):
     assert zscore(spark.createDataFrame([(1.0,), (1.0,)], "x double"), ["x"]).first()["x_z"] is None
+
+
+def test_a_dummy_that_fixes_the_outcome_is_named(spark):
+    df, *_ = data(spark, 3, n=600)
+    hashed = F.pmod(F.xxhash64("x1"), F.lit(10))
+    rows = df.withColumn("d", (hashed == 0).cast("double")).withColumn("e", (hashed != 1).cast("double")).withColumn(
+        "b", F.when(F.col("d") == 1, 0.0).when(F.col("e") == 0, 1.0).otherwise(F.col("b"))).withColumn(
+        "flat", F.lit(2.5)).withColumn("empty", F.lit(None).cast("double")).persist()
+    fit = rg.logit(rows, "b", ["x1", "d", "x2", "e", "flat", "empty"], "city", leave_out=True)
+    ones, zeros = rows.filter("d = 1").count(), rows.filter("e = 0").count()
+    assert sorted(fit.left_out) == [("d", "1 fixes the outcome", ones), ("e", "0 fixes the outcome", zeros), ("empty", "constant", 0), ("flat", "constant", 0)]
+    plain = rg.logit(rows.filter("d = 0 and e = 1"), "b", ["x1", "x2"], "city")
+    assert fit.names == ["const", "x1", "x2"] and fit.n == plain.n == 600 - ones - zeros
+    assert fit.beta == pytest.approx(plain.beta, abs=1e-8) and fit.cov == pytest.approx(plain.cov, rel=1e-6)
+    with pytest.raises(ValueError, match="x1 is null in"):
+        rg.logit(rows.withColumn("x1", F.when(F.col("x1") > 0, F.col("x1"))), "b", ["x1"], "city", leave_out=True)
+
+
+def two_together(spark, n, mixed):
+    """a = b = 1 is always positive, a = b = 0 never; `mixed` rows where one of them is 1 are both."""
+    rows = [(i % 7, float(k), float(k), float(i % 3), float(k)) for i in range(n) for k in (0, 1)]
+    rows += [(i % 7, float(i % 2), float(1 - i % 2), float(i % 3), float(i // 2 % 2)) for i in range(mixed)]
+    return spark.createDataFrame(rows, "city int, a double, b double, z double, y double")
+
+
+@pytest.mark.parametrize("n, mixed", [(60, 400), (4, 20_000)])
+def test_separation_by_two_regressors_is_refused(spark, n, mixed):
+    df = two_together(spark, n, mixed)
+    for leave_out in (False, True):
+        with pytest.raises(rg.NotConverged, match="separated along .*[ab]"):
+            rg.logit(df, "y", ["a", "b", "z"], "city", leave_out=leave_out)
+    with pytest.raises(rg.NotConverged, match="separated along"):
+        absorbed.logit_absorbed(df, "y", ["a", "b", "z"], "city")
+
+
+def test_a_rare_outcome_is_no_separation(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=60_000)
+    y = (rng.random(60_000) < 1 / (1 + np.exp(7.5 - x))).astype(float)
+    df = spark.createDataFrame([(i % 40, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "city int, x double, y double")
+    fit = rg.logit(df, "y", ["x"], "city")
+    p = 1 / (1 + np.exp(-fit.beta[0] - fit.beta[1] * x))
+    assert abs((y - p).sum()) < 1e-5 and abs((x * (y - p)).sum()) < 1e-5 and y.mean() < 0.002
+
+
+def test_weakest_direction():
+    rng = np.random.default_rng(0)
+    z = np.column_stack([np.ones(200), rng.normal(size=(200, 2)) * [1, 1000]])
+    z = np.column_stack([z, z[:, 1] * 2])                            # a redundant column is no direction of its own
+    w = np.where(z[:, 1] > 0, 1e-9, 0.2)
+    level, d = rg.weakest_direction((z * w[:, None]).T @ z, z.T @ z)
+    along = z @ d
+    assert level == pytest.approx((w * along ** 2).sum() / (along ** 2).sum()) and level < 0.2
+    assert rg.weakest_direction(np.zeros((0, 0)), np.zeros((0, 0)))[0] == 0
+
+
+def test_blocks_of_many_partitions(spark):
+    df, X, *_ = data(spark, n=300)
+    many = df.repartition(70).persist()
+    assert rg.gram(many, ["x1", "x2"]) == pytest.approx(X[:, 1:3].T @ X[:, 1:3])
+    both = [rg._sum_cells(many, ["x1"], lambda m: np.array([m.sum(), len(m)]), 2, parts) for parts in (3, 70)]
+    assert both[0] == pytest.approx(both[1]) and both[0][1] == 300
+    assert rg._sum_cells(many.filter("x1 > 99"), ["x1"], lambda m: np.array([m.sum(), len(m)]), 2).tolist() == [0, 0]
+
+
+def with_dummies(df, cities):
+    return df.select("*", *[(F.col("city") == c).cast("double").alias(f"c{c}") for c in cities])
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_eliminated_effects_equal_dummies(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(absorbed, "BROADCAST_ROWS", broadcast_rows)
+    df, *_ = data(spark, 6, 900, 12)
+    df = df.withColumn("city", F.when(F.rand(3) < 0.4, 3).otherwise(F.col("city"))).persist()          # one city holds a third of the rows
+    x, dummies = ["x1", "x2", "x3"], [f"c{c}" for c in range(1, 12)]
+    full = with_dummies(df, range(1, 12))
+    for absorbing, plain, y in ((absorbed.logit_absorbed, rg.logit, "b"), (absorbed.ols_absorbed, rg.ols, "y")):
+        got, want = absorbing(df, y, x, "city"), plain(full, y, [*x, *dummies], "city")
+        assert got.names == x and got.n == want.n and got.groups == want.groups == 12
+        assert got.beta == pytest.approx(want.beta[1:4], abs=1e-7)
+        assert got.cov == pytest.approx(want.cov[1:4, 1:4], rel=1e-6, abs=1e-12)
+        for stat in set(want.stats) - {"gradient"}:
+            assert got.stats[stat] == pytest.approx(want.stats[stat], rel=1e-8), stat
+
+
+def test_groups_and_dummies_that_fix_the_outcome_go_in_turn(spark):
+    rng = np.random.default_rng(8)
+    rows = [(c, float(rng.normal()), 0.0, float(rng.random() < 0.5)) for c in range(6) for _ in range(60)]
+    rows += [(6, float(rng.normal()), 0.0, 1.0) for _ in range(10)]                                     # never varies
+    # City 7 varies only through rows of a dummy that fixes the outcome, so it goes after the dummy.
+    rows += [(7, float(rng.normal()), 1.0, 1.0) for _ in range(5)] + [(7, float(rng.normal()), 0.0, 0.0) for _ in range(8)]
+    rows += [(None, 1.0, 0.0, 1.0), (None, 2.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "city int, x double, d double, y double")
+    fit = absorbed.logit_absorbed(df, "y", ["x", "d"], "city")
+    assert fit.names == ["x"] and fit.n == 360 and fit.groups == 6
+    assert fit.left_out == [("d", "1 fixes the outcome", 5), ("2 groups", "the outcome does not vary", 18)]
+    want = rg.logit(with_dummies(df.filter("city < 6"), range(1, 6)), "y", ["x", *[f"c{c}" for c in range(1, 6)]], "city")
+    assert fit.beta[0] == pytest.approx(want.beta[1], abs=1e-7)
+    with pytest.raises(rg.NotConverged):
+        absorbed.logit_absorbed(df.filter("city >= 6"), "y", ["x", "d"], "city")
+
+
+def test_more_groups_than_dummies_could_hold(spark):
+    """6,000 cities: no list of levels, slopes near the truth."""
+    rows = spark.range(60_000).select((F.col("id") % 6_000).cast("int").alias("city"), F.randn(1).alias("x"), F.rand(2).alias("u")).select(
+        "city", "x", (F.col("u") < 1 / (1 + F.exp(-(0.7 * F.col("x") + F.col("city") % 5 - 2)))).cast("double").alias("y"))
+    fit = absorbed.logit_absorbed(rows, "y", ["x"], "city")
+    assert fit.groups + sum(int(w.split()[0]) for w, *_ in fit.left_out) == 6_000 and abs(fit.stats["gradient"]) < 1e-3
+    assert 0.65 < fit.beta[0] < 0.9                      # ten rows a city: the known upward bias of effects estimated along
+
+
+def test_lost_cities_and_rows_are_reported(spark):
+    df = analysis(spark).withColumn("y_continue", F.when(F.col("city_id") == 2, 1).when(F.col("year") == 2017, 0).otherwise(F.col("y_continue")))
+    pair = rg.fit_pair(df, "y_continue", city_effects=True)
+    rows = df.filter("city_id = 2").count(), df.filter("city_id <> 2 and year = 2017").count()
+    assert pair.left_out == [("1 cities", "the outcome does not vary", rows[0]), ("yr_2017", "1 fixes the outcome", rows[1])]
+    assert pair.behaviour.n == 400 - sum(rows) and pair.behaviour.groups == 7 and "yr_2017" in pair.intention.names
+    table = rg.left_out_table(spark, [("R3", pair, 1.0)]).collect()
+    assert [tuple(r) for r in table] == [("R3", "y_continue", *lost) for lost in pair.left_out]
+    dummies = rg.fit_pair(df, "y_continue", city_levels=True)
+    assert pair.behaviour.row("BI") == pytest.approx(dummies.behaviour.row("BI"), rel=1e-6)
+    assert pair.intention.row("ATT") == pytest.approx(dummies.intention.row("ATT"), rel=1e-6)

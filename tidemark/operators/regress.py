@@ -1,7 +1,7 @@
 """Least squares and logit with cluster-robust errors.
 
-Every pass sums K x K (or group x K) blocks on the executors, first per partition in
-numpy and then by a combinable group-by; only K x K numbers reach the driver.
+Every pass sums K x K blocks on the executors, first per partition in numpy, then, where there are many partitions, in a few
+tasks that add up blocks as they arrive; group x K sums go through a combinable group-by. Only K x K numbers reach the driver.
 """
 
 from __future__ import annotations
@@ -50,6 +50,7 @@ class Fit:
     n: int
     groups: int
     stats: dict[str, float] = field(default_factory=dict)
+    left_out: list[tuple[str, str, int]] = field(default_factory=list)      # (name, why, rows that went with it)
 
     def se(self) -> np.ndarray:
         return np.sqrt(np.diag(self.cov))
@@ -73,7 +74,26 @@ def _matrix(batch: pa.RecordBatch, positions: Iterable[int]) -> np.ndarray:
     return np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in positions])
 
 
-def _sum_cells(df: DataFrame, cols: Sequence[str], block, size: int) -> np.ndarray:
+#: Blocks of more partitions than this are added up by tasks before the driver adds the rest.
+FEW_BLOCKS = 64
+
+
+def add_blocks(blocks: DataFrame, size: int, partitions: int | None = None) -> np.ndarray:
+    """Sum of the `block` column (bytes of `size` doubles); `partitions` is their number, if it is known."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                total += np.frombuffer(raw)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["block"])
+
+    if partitions is None or partitions > FEW_BLOCKS:
+        tasks = min(32, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        blocks = blocks.repartition(tasks).mapInArrow(add, "block binary")
+    return np.sum([np.zeros(size), *(np.frombuffer(r[0]) for r in blocks.collect())], axis=0)
+
+
+def _sum_cells(df: DataFrame, cols: Sequence[str], block, size: int, partitions: int | None = None) -> np.ndarray:
     """Sum block(X) over all rows, where block returns `size` numbers for a batch X."""
     cols = list(cols)
 
@@ -81,14 +101,10 @@ def _sum_cells(df: DataFrame, cols: Sequence[str], block, size: int) -> np.ndarr
         total = np.zeros(size)
         for batch in batches:
             total += block(_matrix(batch, range(len(cols))))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype="int32")), pa.array(total)], ["cell", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["block"])
 
-    summed = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-              .mapInArrow(partial, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")))
-    out = np.zeros(size)
-    for r in summed.collect():
-        out[r["cell"]] = r["v"]
-    return out
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    return add_blocks(rows.mapInArrow(partial, "block binary"), size, partitions)
 
 
 def gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
@@ -153,101 +169,206 @@ def ols(df: DataFrame, y: str, x: Sequence[str], group: str, small_sample: bool
     return Fit(names, beta, cov, n, groups, {"rss": rss, "r2": 1 - rss / tss, "mean": float(g[0, k] / n)})
 
 
-#: Least mean of p (1 - p) over the rows of a regressor, weighted by its squares.
+#: Least mean of p (1 - p) along any direction of the regressors, relative to that of an outcome with the same base rate.
 VANISHED = 1e-6
 
 
-def logit(df: DataFrame, y: str, x: Sequence[str], group: str, max_iter: int = 200, tol: float = 1e-9,
-          small_sample: bool = True) -> Fit:
-    """Maximum likelihood by Newton steps, one pass over the cached rows per step.
+def set_aside(rows: DataFrame, names: Sequence[str], y: str, partitions: int | None = None) -> tuple[DataFrame, list[str], list[tuple[str, str, int]]]:
+    """Leave out regressors that are constant, and 0/1 regressors one value of which fixes the outcome, with that value's rows.
 
-    A step that lowers the likelihood is halved. Raises NotConverged when the gradient
-    does not vanish or a coefficient runs away, as under separation by any one regressor.
+    Such a regressor has no finite coefficient, and its rows tell nothing about the others. The rest is
+    looked at again until nothing is found, one pass each time. A column of nulls only is constant;
+    one with some nulls is refused. Returns rows, names and what was left out.
     """
-    names = [CONST, *x]
-    k = len(names)
-    rows = _with_const(df).select(group, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*names, y])])
-    rows = rows.persist()
+    names, gone = list(names), []
+    while True:
+        k = len(names)
+        first = rows.select(*[F.col(c).cast("double").alias(c) for c in names]).first()
+        if first is None or not k:
+            return rows, names, gone
+        start = np.array([np.nan if v is None else v for v in first])
 
-    squares = np.ones(k)
-
-    def evaluate(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, float]:
         def block(m: np.ndarray) -> np.ndarray:
-            z, t = m[:, :k], m[:, k]
-            eta = z @ beta
-            p = 1.0 / (1.0 + np.exp(-eta))
-            hess = (z * (p * (1 - p))[:, None]).T @ z
-            ll = float(t @ eta - np.logaddexp(0.0, eta).sum())
-            return np.concatenate([hess.ravel(), z.T @ (t - p), (z * z).sum(axis=0), [ll, len(t), t.sum()]])
-        s = _sum_cells(rows, [*names, y], block, k * k + 2 * k + 3)
-        squares[:] = s[k * k + k:k * k + 2 * k]
-        return s[:k * k].reshape(k, k), s[k * k:k * k + k], float(s[-3]), float(s[-2]), float(s[-1])
-
-    beta, converged = np.zeros(k), False
-    hess, grad, ll, n, positives = evaluate(beta)
-    for _ in range(max_iter):
-        if np.abs(grad).max() <= tol * n:
-            converged = True
-            break
-        step = _solve(hess, grad)
-        size = 1.0
-        while True:
-            trial = evaluate(beta + size * step)
-            if trial[2] >= ll - 1e-12 * abs(ll) or size < 1e-6:
-                break
-            size /= 2
-        beta = beta + size * step
-        hess, grad, ll = trial[0], trial[1], trial[2]
-        if np.abs(beta).max() > 30 * max(1.0, math.log(n)):
-            break
-    # Where a regressor has weight, p (1 - p) must not have vanished: else its coefficient runs away.
-    fitted_away = (np.diag(hess) <= VANISHED * squares).any()
-    if not converged or fitted_away:
-        rows.unpersist()
-        raise NotConverged(f"logit of {y} did not converge")
-    cov, groups = cluster_cov(rows, names, beta, y, group, hess, True, int(n), small_sample)
-    rows.unpersist()
+            x, t = m[:, :k], m[:, k]
+            return np.concatenate([np.isnan(x).sum(axis=0), np.abs(x - start).sum(axis=0), np.abs(x * (x - 1)).sum(axis=0),
+                                   x.sum(axis=0), x.T @ t, [len(t), t.sum()]])
+
+        found = _sum_cells(rows, [*names, y], block, 5 * k + 2, partitions)
+        n, positives = found[-2:]
+        drop, keep = [], F.lit(True)
+        for j, name in enumerate(names):
+            nulls, moved, apart, ones, hits = found[j:5 * k:k]
+            if 0 < nulls < n:
+                raise ValueError(f"{name} is null in {int(nulls)} of {int(n)} rows")
+            if nulls or moved == 0:
+                drop.append(name)
+                gone.append((name, "constant", 0))
+            elif apart == 0 and hits in (0, ones):
+                drop.append(name)
+                gone.append((name, "1 fixes the outcome", int(ones)))
+                keep = keep & (F.col(name) == 0)
+            elif apart == 0 and positives - hits in (0, n - ones):
+                drop.append(name)
+                gone.append((name, "0 fixes the outcome", int(n - ones)))
+                keep = keep & (F.col(name) == 1)
+        if not drop:
+            return rows, names, gone
+        rows, names = rows.filter(keep), [c for c in names if c not in drop]
+
+
+def weakest_direction(hess: np.ndarray, gram: np.ndarray) -> tuple[float, np.ndarray]:
+    """Least mean weight d'Hd / d'Gd over the directions that the rows span, and that direction."""
+    size = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+    level, axes = np.linalg.eigh(gram / np.outer(size, size))
+    own = level > 1e-10 * max(level.max(initial=0.0), 1e-300)
+    base = axes[:, own] / np.sqrt(level[own]) / size[:, None]
+    values, vectors = np.linalg.eigh(base.T @ hess @ base)
+    return (float(values[0]), base @ vectors[:, 0]) if len(values) else (0.0, np.zeros(len(gram)))
+
+
+def named_direction(direction: np.ndarray, gram: np.ndarray, names: Sequence[str]) -> str:
+    """The regressors that make up a direction, largest share first."""
+    share = np.abs(direction) * np.sqrt(np.abs(np.diag(gram)))
+    order = [j for j in np.argsort(-share) if share[j] > 0.05 * share.max()]
+    return ", ".join(f"{direction[j] / np.abs(direction).max():+.2f} {names[j]}" for j in order[:8])
+
+
+class Newton:
+    """Newton steps for a concave log-likelihood, halved where it falls, with a guard against separation.
+
+    `evaluate(beta)` returns the negative Hessian, the gradient and the log-likelihood, at beta = 0 first. The
+    Hessian there is a quarter of the Gram matrix, which the guard compares with: under separation the weights
+    p (1 - p) vanish along some direction of the regressors, and its steps never do.
+    """
+
+    def __init__(self, evaluate, names: Sequence[str], y: str, n: float, rate: float, gram: np.ndarray, start: tuple):
+        self.evaluate, self.names, self.y, self.n, self.gram = evaluate, list(names), y, n, gram
+        self.least = VANISHED * 4 * rate * (1 - rate)
+        self.beta, (self.hess, self.grad, self.ll) = np.zeros(len(names)), start
+
+    def separated(self) -> None:
+        level, direction = weakest_direction(self.hess, self.gram)
+        if level <= self.least:
+            raise NotConverged(f"logit of {self.y}: the outcome is separated along {named_direction(direction, self.gram, self.names)}")
+
+    def run(self, max_iter: int, tol: float) -> None:
+        scale = np.sqrt(np.abs(np.diag(self.gram)) / max(self.n, 1))
+        for _ in range(max_iter):
+            self.separated()
+            step = _solve(self.hess, self.grad)
+            if np.abs(self.grad).max(initial=0) <= tol * self.n and np.abs(step * scale).max(initial=0) <= 1e-6:
+                return
+            size = 1.0
+            while True:
+                trial = self.evaluate(self.beta + size * step, size)
+                if trial[2] >= self.ll - 1e-12 * abs(self.ll) or size < 1e-6:
+                    break
+                size /= 2
+            self.beta = self.beta + size * step
+            self.hess, self.grad, self.ll = trial
+        raise NotConverged(f"logit of {self.y} did not converge in {max_iter} steps")
+
+
+def logit_stats(ll: float, n: float, positives: float, k: int, gradient: float) -> dict[str, float]:
     rate = positives / n
     ll0 = positives * math.log(rate) + (n - positives) * math.log(1 - rate)
-    return Fit(names, beta, cov, int(n), groups, {
-        "ll": ll, "ll0": ll0, "pseudo_r2": 1 - ll / ll0, "aic": -2 * ll + 2 * k,
-        "bic": -2 * ll + k * math.log(n), "mean": rate, "gradient": float(np.abs(grad).max())})
+    return {"ll": ll, "ll0": ll0, "pseudo_r2": 1 - ll / ll0, "aic": -2 * ll + 2 * k, "bic": -2 * ll + k * math.log(n),
+            "mean": rate, "gradient": gradient}
+
+
+def logit(df: DataFrame, y: str, x: Sequence[str], group: str, max_iter: int = 200, tol: float = 1e-9,
+          small_sample: bool = True, leave_out: bool = False) -> Fit:
+    """Maximum likelihood by Newton steps, one pass over the cached rows per step.
+
+    A step that lowers the likelihood is halved. Raises NotConverged when the steps or the gradient do not vanish, or
+    when the outcome is separated along some direction of the regressors, which the message names. With
+    `leave_out`, constant regressors and 0/1 regressors that fix the outcome are set aside first and reported in the fit.
+    """
+    columns = list(dict.fromkeys([CONST, *x, y]))
+    rows = _with_const(df).select(group, *[F.col(c).cast("double").alias(c) for c in columns]).persist()
+    try:
+        partitions = rows.rdd.getNumPartitions()
+        used, own, gone = set_aside(rows, x, y, partitions) if leave_out else (rows, list(x), [])
+        names, k = [CONST, *own], len(own) + 1
+
+        def sums(beta: np.ndarray) -> np.ndarray:
+            def block(m: np.ndarray) -> np.ndarray:
+                z, t = m[:, :k], m[:, k]
+                eta = z @ beta
+                p = 1.0 / (1.0 + np.exp(-eta))
+                hess = (z * (p * (1 - p))[:, None]).T @ z
+                ll = float(t @ eta - np.logaddexp(0.0, eta).sum())
+                return np.concatenate([hess.ravel(), z.T @ (t - p), [ll, len(t), t.sum()]])
+            return _sum_cells(used, [*names, y], block, k * k + k + 3, partitions)
+
+        def parts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+            return s[:k * k].reshape(k, k), s[k * k:k * k + k], float(s[-3])
+
+        begun = sums(np.zeros(k))
+        n, positives = float(begun[-2]), float(begun[-1])
+        if not 0 < positives < n:
+            raise NotConverged(f"logit of {y}: the outcome does not vary")
+        search = Newton(lambda b, _size: parts(sums(b)), names, y, n, positives / n, 4 * parts(begun)[0], parts(begun))
+        search.run(max_iter, tol)
+        cov, groups = cluster_cov(used, names, search.beta, y, group, search.hess, True, int(n), small_sample)
+        stats = logit_stats(search.ll, n, positives, k, float(np.abs(search.grad).max()))
+        return Fit(names, search.beta, cov, int(n), groups, stats, gone)
+    finally:
+        rows.unpersist()
 
 
 @dataclass
 class PairFit:
-    """Intention equation, behaviour equation and the rows they used."""
+    """Intention equation, behaviour equation and what the sample lost before the fit: (what, why, rows)."""
 
     outcome: str
     intention: Fit
     behaviour: Fit
+    left_out: list[tuple[str, str, int]] = field(default_factory=list)
 
 
 def fit_pair(df: DataFrame, outcome: str, mode: str = "count", city_means: bool = True,
-             city_levels: bool = False, max_iter: int = 200) -> PairFit:
+             city_levels: bool = False, max_iter: int = 200, city_effects: bool = False) -> PairFit:
     """BI on its antecedents and the outcome on BI and all antecedents, on one design matrix.
 
-    With city levels, cities whose outcome never varies are left out first, since their
-    effect is not finite; if the fit still fails, cities under 2 and then 5 positives are
-    left out, and what does not converge after that is refused.
+    Constant regressors and dummies that fix the outcome are left out of the behaviour equation with their rows. City
+    effects are dummies with `city_levels`, for a few cities, or are eliminated with `city_effects`, for any number. Cities
+    whose outcome never varies are then left out first, since their effect is not finite; if the fit
+    still fails, cities under 2 and then 5 positives go, and what does not converge after that is refused.
+    The returned fit tells the cities, regressors and rows that were left out.
     """
-    used = vary_within(df, "city_id", outcome) if city_levels else df
+    from tidemark.operators.absorbed import logit_absorbed, ols_absorbed
+    by_city = city_levels or city_effects
+    used, lost = (_cities_out(df, vary_within(df, "city_id", outcome), "the outcome does not vary")) if by_city else (df, [])
     for positives in (2, 5, None):
-        matrix, names = design_matrix(used, mode, city_means and not city_levels, city_levels)
+        matrix, names = design_matrix(used, mode, city_means and not by_city, city_levels)
         matrix = matrix.persist()
+        others = [n for n in names if n != "BI"]
         try:
-            behaviour = logit(matrix, outcome, names, "city_id", max_iter)
-            intention = ols(matrix, "BI", [n for n in names if n != "BI"], "city_id")
-            return PairFit(outcome, intention, behaviour)
+            if city_effects:
+                behaviour = logit_absorbed(matrix, outcome, names, "city_id", max_iter)
+                intention = ols_absorbed(matrix, "BI", others, "city_id")
+            else:
+                behaviour = logit(matrix, outcome, names, "city_id", max_iter, leave_out=True)
+                intention = ols(matrix, "BI", others, "city_id")
+            return PairFit(outcome, intention, behaviour, [*lost, *behaviour.left_out])
         except NotConverged:
-            if positives is None or not city_levels:
+            if positives is None or not by_city:
                 raise
-            used = at_least_positives(used, "city_id", outcome, positives)
+            used, more = _cities_out(used, at_least_positives(used, "city_id", outcome, positives), f"under {positives} positives")
+            lost = lost + more
         finally:
             matrix.unpersist()
     raise NotConverged(outcome)
 
 
+def _cities_out(before: DataFrame, after: DataFrame, why: str) -> tuple[DataFrame, list[tuple[str, str, int]]]:
+    """`after`, and how many cities and rows it lacks of `before`."""
+    counts = [d.agg(F.countDistinct("city_id"), F.count(F.lit(1))).first() for d in (before, after)]
+    cities, rows = (a - b for a, b in zip(*counts))
+    return after, [(f"{cities} cities", why, rows)] if rows else []
+
+
 def vary_within(df: DataFrame, by: str, outcome: str) -> DataFrame:
     """Rows of the groups in which the outcome takes at least two values."""
     groups = df.groupBy(by).agg(F.countDistinct(outcome).alias("_v")).filter(F.col("_v") >= 2)
@@ -279,6 +400,12 @@ def pair_record(pair: PairFit) -> dict[str, tuple[float, float, float]]:
     return {p: (pair.behaviour if p.endswith("->Y") else pair.intention).row(p.split("->")[0]) for p in PATHS}
 
 
+def left_out_table(spark, runs: Sequence[tuple[str, PairFit, float]]) -> DataFrame:
+    """What each specification lost: spec, outcome, what (a regressor or a number of cities), why, rows."""
+    rows = [(spec, pair.outcome, *lost) for spec, pair, _ in runs for lost in pair.left_out]
+    return spark.createDataFrame(rows, "spec string, outcome string, what string, why string, rows long")
+
+
 def run_summary(spark, runs: Sequence[tuple[str, PairFit, float]]) -> DataFrame:
     """One row per (spec, fit, seconds): sample, base rate, fit statistics and the nine paths."""
     rows = []
