@@ -8,7 +8,7 @@ from catalog import inputs as I
 from catalog.registry import query
 from catalog.sql import using
 from tidemark.functions.spline import basis
-from tidemark.operators import causal as ca, explain as ex, learners as le, metrics as mt, regress as rg
+from tidemark.operators import causal as ca, explain as ex, learners as le, metrics as mt, regress as rg, trees as tr
 from tidemark.operators.features import CONSTRUCTS, FEATURES
 from tidemark.plans import study
 
@@ -180,10 +180,32 @@ def majority_baseline(spark, sf):
 
 @query("model_comparison_l3_l9")
 def model_comparison(spark, sf):
-    """Every learner kind; boosting rounds are lowered so that the comparison is quick."""
-    wanted = le.candidates(histogram_rounds=5, leaf_rounds=5, epochs=20, hidden=(5,))
-    kinds = {e.model: e for e in wanted}
-    return le.bake_off(_model_rows(spark, sf), list(kinds.values())).drop("seconds")
+    """All 18 entries at their full settings; boosting and networks stop on their held-out rows."""
+    return le.bake_off(_model_rows(spark, sf), le.candidates()).drop("seconds")
+
+
+# One split on the best of three features: leaf values are Newton steps from the base rate.
+_SPLIT_ON = ("hits_ATT", "hits_SAT", "hits_BI")
+_SPLIT = {
+    "r": "SELECT avg(y_continue) AS p, count(*) AS n, sum(y_continue) AS s FROM analysis",
+    "u": " UNION ALL ".join(f"SELECT {i} AS f, {c} AS x, count(*) AS n, sum(y_continue) AS s FROM analysis GROUP BY {c}" for i, c in enumerate(_SPLIT_ON)),
+    "c": "SELECT f, x, sum(n) OVER w AS nl, sum(s) OVER w AS sl FROM u WINDOW w AS (PARTITION BY f ORDER BY x)",
+    "g": """SELECT f, x, nl, sl, ((nl * p - sl) ** 2 / nl + ((n - nl) * p - (s - sl)) ** 2 / (n - nl)) / (p * (1 - p)) AS gain
+            FROM c CROSS JOIN r WHERE nl >= 20 AND n - nl >= 20""",
+    "b": "SELECT * FROM g ORDER BY round(gain, 9) DESC, f, x LIMIT 1",
+    "v": """SELECT f, x, ln(p / (1 - p)) + 0.1::DOUBLE * (sl - nl * p) / (nl * p * (1 - p)) AS lo,
+            ln(p / (1 - p)) + 0.1::DOUBLE * (s - sl - (n - nl) * p) / ((n - nl) * p * (1 - p)) AS hi FROM b CROSS JOIN r""",
+}
+
+
+@query("one_split_tree_l6_l7", using("analysis", extra=_SPLIT, body="""
+    SELECT review_id, round(CASE WHEN (CASE f WHEN 0 THEN hits_ATT WHEN 1 THEN hits_SAT ELSE hits_BI END) <= x THEN lo ELSE hi END, 6) AS score
+    FROM analysis CROSS JOIN v"""))
+def one_split_tree(spark, sf):
+    """Boosting of one round with two leaves, against the closed form over every possible cut."""
+    rows = I.analysis(spark, sf).select("review_id", *_SPLIT_ON, F.col("y_continue").cast("double").alias("y"))
+    model = tr.boost(rows, _SPLIT_ON, [tr.Spec("y", F.lit(1.0), tr.Shape(2), 0.1, 1)], "review_id", logistic=True)[0]
+    return rows.select("review_id", model.score().alias("score"))
 
 
 @query("best_config_w8", using("analysis", body="""
@@ -356,10 +378,20 @@ def linear_effects(spark, sf):
 
 @query("effect_forest_c6")
 def effect_forest(spark, sf):
+    """120 trees down to leaves of 200 rows."""
     features = study.feature_matrix(_period_rows(spark, sf), "y_continue", F.col("period") <= TRAIN_TO, ["reviewer_id", "city_id"])
     controls = [f for f in FEATURES if f != "BI"]
     res = ca.residuals_linear(ca.with_folds(features, "reviewer_id"), "y", "BI", controls)
-    return ca.effect_forest(res, controls, trees=20, min_leaf=50).select("reviewer_id", "cate")
+    return ca.effect_forest(res, controls).select("reviewer_id", "cate")
+
+
+@query("forest_of_one_leaf_c6", using("analysis", extra={**_DML, "fine": "SELECT * FROM res WHERE abs(t_res) > 0.000001",
+                                                         "leaf": "SELECT sum(t_res * y_res) / sum(t_res * t_res) AS cate FROM fine"}, body="""
+    SELECT reviewer_id, round(cate, 6) AS cate FROM fine CROSS JOIN leaf"""))
+def forest_of_one_leaf(spark, sf):
+    """A tree that may not split holds the weighted mean, which is the partialled effect."""
+    res = _residuals(spark, sf).persist()
+    return ca.effect_forest(res, ["z"], trees=1, min_leaf=res.count(), bootstrap=False).select("reviewer_id", "cate")
 
 
 _GIVEN = {"gv": "SELECT *, (hits_ATT * 3 + n_tokens % 89 - 40) / 100.0::DOUBLE AS eff FROM analysis",

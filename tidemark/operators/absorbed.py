@@ -69,7 +69,7 @@ def _group_sums(rows: DataFrame, cols: Sequence[str], per_row, whole, size: int,
 
     schema = f"`{KEY}` {kind}, " + ", ".join(f"{f} double" for f in fields) + ", block binary"
     partial_sums = rows.select(KEY, *cols).mapInArrow(partial, schema).persist()
-    whole_sum = add_blocks(partial_sums.filter(F.col(KEY).isNull()).select("block"), size)
+    whole_sum = add_blocks(partial_sums.filter(F.col(KEY).isNull()).select("block"), size, rows.rdd.getNumPartitions())
     per_group = partial_sums.filter(F.col(KEY).isNotNull()).groupBy(KEY).agg(*[F.sum(f).alias(f) for f in fields])
     return per_group, whole_sum, partial_sums
 
@@ -193,7 +193,7 @@ def logit_absorbed(df: DataFrame, y: str, x: Sequence[str], by: str, max_iter: i
             state["table"] = table
             cross = _sum_cells(table, [*[f"s{j}" for j in range(3, 3 + k)], "s0", "s1"], lambda m: np.concatenate([
                 ((m[:, :k] / m[:, k:k + 1]).T @ m[:, :k]).ravel(), m[:, :k].T @ (m[:, k + 1] / m[:, k]),
-                [np.abs(m[:, k + 1]).sum()]]), k * k + k + 1)
+                [np.abs(m[:, k + 1]).sum()]]), k * k + k + 1, table.rdd.getNumPartitions())
             schur = total[:k * k].reshape(k, k) - cross[:k * k].reshape(k, k)
             state["own"], state["counts"] = cross[-1], total[-2:]
             return schur, total[k * k:k * k + k] - cross[k * k:k * k + k], float(total[-3])
