@@ -63,5 +63,13 @@ def hubs_and_spokes(hubs: DataFrame, spokes: DataFrame, per_task: int = 20_000)
             .sortWithinPartitions("hub", "salt", "side"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces_of(total: int, size: int) -> int:
     return max(1, math.ceil(total / size))

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.common import fresh
+
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
@@ -105,14 +107,15 @@ def _valid(kind: str, text: Column, span: Column) -> Column:
 
 
 def find_spans(docs: DataFrame, text_col: str = "text", to: str = "pii") -> DataFrame:
-    """Adds `to`: array of (start, kind number, end, score), by start, then kind."""
+    """Adds `to`, or puts it in place of a column of that name: array of (start, kind number, end, score), by start, then kind."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE, IBAN, CARD, NATIONAL)))
     hints = dict(email="@", phone="+")             # a character that every match holds
-    marks = {p: f"_pii_{i}" for i, p in enumerate(dict.fromkeys(patterns.values()))}
+    marks: dict[str, str] = {}
     proposed = docs
     for kind, pattern in patterns.items():
-        if marks[pattern] not in proposed.columns:
+        if pattern not in marks:
+            marks[pattern] = fresh(proposed, f"_pii_{len(marks)}")
             found = positioned(text, pattern)
             if kind in hints:
                 found = F.when(F.instr(text, hints[kind]) > 0, found)
