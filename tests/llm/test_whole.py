@@ -61,3 +61,26 @@ def test_pairs_across_components_leave_out_those_inside(spark):
     rest = spark.createDataFrame(rows, "shingle long, cls long, n int, place int, comp long, largest long")
     assert jaccard._outside(rest).count() == 3
     assert sorted(map(tuple, jaccard._across(rest, 90).collect())) == sorted([*((i, 99) for i in range(50)), (3, 98), (98, 99)])
+
+
+def test_parity_bits_lose_no_linked_pair(spark):
+    rows = []
+    for k in range(40):
+        w = prose(7000 + k, 30 + 13 * k).split()
+        for c in range(4):                                      # copies with ever more words replaced, from exact to far
+            rows.append((10 * k + c, " ".join(x if (i * 7919 + c) % 1000 >= 10 * c else f"new{c}" for i, x in enumerate(w))))
+    rows += [(1, rows[5][1]), (2, None), (3, "one")]            # an id with two texts
+    df = frame(spark, rows).select("doc_id", "text")
+    for size, percent in ((3, 90), (5, 80), (3, 50)):
+        sets = jaccard.shingle_sets(df, size, percent).persist()
+        ids = sorted({d for d, _ in rows})
+        pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a long, b long")
+        close = {tuple(r) for r in jaccard.close_pairs(pairs, sets, percent).collect()}
+        parts = {d: [] for d in ids}
+        for d, t in rows:
+            w = (t or "").split()
+            parts[d].append(set(zip(*(w[k:] for k in range(size)))) if len(w) >= size else {tuple(w)} if w else set())
+        linked = {(a, b) for a in ids for b in ids if a < b and any(
+            x and y and 100 * len(x & y) >= percent * len(x | y) for x in parts[a] for y in parts[b])}
+        assert linked <= close and len(linked) > 20
+        assert percent < 80 or len(close) < len(ids) * (len(ids) - 1) / 8       # and most others are left out
