@@ -24,13 +24,17 @@ def byte_list(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def compress(texts: pa.Array) -> pa.Array:
+    """Each text as zstandard bytes; null where it is null."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([None if t is None else pack(t) for t in byte_list(texts)], pa.binary())
+
+
 def compressed(rows: DataFrame, id_col: str) -> DataFrame:
     """A long id and its text as zstandard bytes, for joins that shuffle texts; a null text stays null."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            packed = [None if t is None else pack(t) for t in byte_list(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=[id_col, "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), compress(b.column(1))], names=[id_col, "text"])
     return rows.select(id_col, "text").mapInArrow(run, f"`{id_col}` long, text binary")
 
 
