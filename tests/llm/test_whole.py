@@ -84,3 +84,28 @@ def test_parity_bits_lose_no_linked_pair(spark):
             x and y and 100 * len(x & y) >= percent * len(x | y) for x in parts[a] for y in parts[b])}
         assert linked <= close and len(linked) > 20
         assert percent < 80 or len(close) < len(ids) * (len(ids) - 1) / 8       # and most others are left out
+
+
+def test_salted_and_growing_steps_lose_no_link(spark, monkeypatch):
+    rows = []
+    for k in range(6):                                          # texts that share a passage; near and far copies of each
+        w = (prose(9000 + k, 40) + " " + prose(8999, 30)).split()
+        rows += [(10 * k + c, " ".join(x if i < 3 * c or i >= 4 * c else f"new{c}" for i, x in enumerate(w))) for c in range(6)]
+    want = sorted(brute.jaccard_components(rows))
+    monkeypatch.setattr(jaccard, "PAIRS_OF_A_TASK", 1)          # every shingle is dealt over salts
+    assert by_id(jaccard.near_duplicates(frame(spark, rows), 3, 90), "doc_id", "n_shingles", "component_id") == want
+    monkeypatch.setattr(jaccard, "AT_ONCE", 0)                  # steps of 1, 2, 4, ... classes only
+    monkeypatch.setattr(jaccard, "MANY", 1)
+    monkeypatch.setattr(jaccard, "GROWTH", 2)
+    assert by_id(jaccard.near_duplicates(frame(spark, rows), 3, 90), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_folded_bits_stay_a_bound():
+    rng = np.random.default_rng(5)
+    for n in (1, 100, 128, 129, 700, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[len(x) // 10:], rng.integers(0, 1 << 63, n // 3).astype(np.uint64)]))
+        away = len(np.setxor1d(x, y))
+        bits = jaccard.parity(x), jaccard.parity(y)
+        assert jaccard.apart(*bits) <= away and jaccard.apart(bits[0], bits[0]) == 0
+        assert int(np.bitwise_count(jaccard.folded(bits[0]) ^ jaccard.folded(bits[1])).sum()) <= jaccard.apart(*bits)
