@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.cohort import CohortRule
 from tidemark.operators.measure import score_text
 from tidemark.plans.study import build_analysis
-from tidemark.sources import raw_reviews as rr, tables as tb
+from tidemark.sources import raw_reviews as rr, split_csv as sc, tables as tb
 from tidemark.streaming import jobs
 from tests.test_text import FILL
 
@@ -136,3 +137,58 @@ def test_streamed_returns_equal_batch(spark, tmp_path):
     (found.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "m"))
      .trigger(availableNow=True).start().awaitTermination(120))
     assert {(r["review_id"], r["same_listing"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()} == {(11, True), (12, False)}
+
+
+def test_ranges_of_a_file_equal_the_whole_file(spark, tmp_path):
+    """Ranges of a few bytes cut fields, quotes and line breaks at every place; the result is that of the one-task reader."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice(['a', 'é', ',', '""', '\n', '\n\n', ' ', "x"]) for _ in range(rng.randrange(60)))
+        rows.append(f'{i},{i + 1000},2015-01-01,{i % 7},Ann,"{text}"')
+    (tmp_path / "Big.csv").write_text(HEAD + "\n".join(rows[:40]) + "\n\n" + "\n".join(rows[40:]) + "\n")
+    (tmp_path / "Crlf.csv").write_text("comments,id\r\n\"one\"\"s\",1\r\n,2\r\n", newline="")
+    big, crlf = (str(tmp_path / n) for n in ("Big.csv", "Crlf.csv"))
+    want = spark.read.options(**rr.OPTIONS).csv(big).select(*rr.RAW).collect()
+    assert len(want) == 60
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (11, 150):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            blocks = sc.survey(spark, [big])
+            assert blocks.agg(F.sum("n_records")).first()[0] == 61 and blocks.count() > 9
+            got = rr.scan(spark, rr.layouts(spark, [big], blocks=blocks), blocks=blocks).select(*rr.RAW).collect()
+            assert sorted(map(repr, got)) == sorted(map(repr, want))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = rr.scan(spark, rr.layouts(spark, [crlf], ["id", "comments"]), ["id", "comments"]).select("id", "comments").collect()
+    assert sorted(map(tuple, got)) == [("1", 'one"s'), ("2", None)]
+    assert sc.survey(spark, []).count() == 0 and rr.scan(spark, {}).count() == 0
+
+
+def test_files_with_unpaired_quotes_are_read_whole_and_others_refused_by_name(spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "meta")
+    files(raw)
+    (raw / "Derry.csv").write_text("id,date\n1,2015-02-01\n")
+    (raw / "Ely.csv.gz").write_bytes(gzip.compress(b""))
+    (raw / "Fez.csv").write_text(HEAD + '8,50,2015-02-01,4,Di,5" pipe\n8,51,2015-02-01,4,Di,fine\n8,x,2015-02-01,4,Di,bad\n')
+    assert rr.ingest(spark, str(raw), out).count() == 8
+    known = {r["city_id"]: r["file"] for r in rr.written_registry(spark, out).collect()}
+    rejects = {known[r["city_id"]]: (r["n_read"], r["n_dropped"]) for r in spark.read.parquet(f"{out}.rejects").collect()}
+    assert rejects == {"Bergen.csv": (5, 2), "Cork.csv": (1, 0), "Fez.csv": (3, 1), "Århus N.csv.gz": (2, 0)}
+    assert {tuple(r) for r in spark.read.parquet(f"{out}.refused").collect()} == {
+        ("Derry.csv", "no column listing_id, reviewer_id"), ("Ely.csv.gz", "empty")}
+
+
+def test_streamed_ingest_finds_columns_by_header_and_repeats_add_nothing(spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    files(raw, last=False)
+    (raw / "Cork.csv").write_text("comments,reviewer_id,id,date,listing_id\nfine,4,30,2015-02-01,6\n")
+    (raw / "Derry.csv").write_text("id,date\n1,2015-02-01\n")
+    jobs.ingest_new_files(spark, str(raw), out, str(tmp_path / "mark")).awaitTermination(120)
+    want = {tuple(r) for r in rr.ingest(spark, str(raw), str(tmp_path / "batch")).collect()}
+    assert {tuple(r) for r in spark.read.parquet(out).select(*rr.META).collect()} == want and len(want) == 6
+    jobs.ingest_new_files(spark, str(raw), out, str(tmp_path / "fresh mark")).awaitTermination(120)     # all files once more
+    assert spark.read.parquet(out).count() == 6 and rr.written_registry(spark, out).count() == 3

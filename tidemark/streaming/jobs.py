@@ -8,23 +8,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.measure import score_text
-from tidemark.sources.raw_reviews import FILES, OPTIONS, RAW, metadata
+from tidemark.sources.raw_reviews import FILES, RAW, _name, add_files, numbered
+
+LISTING = "path string, modificationTime timestamp, length long, content binary"
 
 
 def ingest_new_files(spark: SparkSession, folder: str, target: str, checkpoint: str,
-                     columns: Sequence[str] = RAW) -> StreamingQuery:
+                     columns: Sequence[str] = RAW[:4]) -> StreamingQuery:
     """Process the files that arrived since the last run, then stop.
 
-    `columns` is the header of the files, in order. The checkpoint remembers the files,
-    so each is read once even after a failure. Rows keep their file name as the city,
-    since numbers could shift as files arrive.
+    The stream lists files and reads no contents; each batch of them goes to the batch ingest, which finds columns by the
+    header of each file, so layouts may differ, and refuses files without `columns`. Cities get numbers that never change. A
+    batch that is repeated after a failure finds its cities written and adds nothing. The checkpoint remembers the files.
     """
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    rows = (spark.readStream.schema(schema).options(**OPTIONS).option("pathGlobFilter", FILES).csv(folder)
-            .withColumn("city_id", F.col("_metadata.file_name")))
-    return (metadata(rows).withColumnRenamed("city_id", "file").writeStream.format("parquet")
-            .option("path", target).option("checkpointLocation", checkpoint).partitionBy("file")
-            .trigger(availableNow=True).start())
+    found = (spark.readStream.format("binaryFile").schema(LISTING).option("pathGlobFilter", FILES).load(folder)
+             .select(_name(F.col("_metadata.file_name")).alias("file"), F.col("length").alias("bytes"), "path"))
+
+    def add(batch: DataFrame, _number: int) -> None:
+        add_files(batch.sparkSession, numbered(batch), target, columns)
+
+    return found.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def score_stream(texts: DataFrame, target: str, checkpoint: str, **options) -> StreamingQuery:
