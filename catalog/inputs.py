@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.cohort import CohortRule, focal_panel
 from tidemark.operators.measure import score_text
+from tidemark.session import require_checkpoint_dir
 from tidemark.sources.tables import spread_if_few
 
 # Phrases with known construct content, appended by doc_id % 8.
@@ -27,6 +30,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh path in the shared checkpoint folder."""
+    require_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
     """One row per order with line items; listing = smallest supplier, city = its nation."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("listing_id"))
@@ -43,9 +52,14 @@ def city_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("city_id"), F.col("n_name").alias("city"))
 
 
-def aug_documents(spark: SparkSession, sf: str) -> DataFrame:
+def augmented(docs: DataFrame) -> DataFrame:
+    """Also for a stream of documents."""
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % 8 + 1).cast("int"))
-    return spread_if_few(table(spark, sf, "documents")).select("doc_id", "source", F.concat("text", phrase).alias("text"))
+    return docs.select("doc_id", "source", F.concat("text", phrase).alias("text"))
+
+
+def aug_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return augmented(spread_if_few(table(spark, sf, "documents")))
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:

@@ -394,6 +394,23 @@ def forest_of_one_leaf(spark, sf):
     return ca.effect_forest(res, ["z"], trees=1, min_leaf=res.count(), bootstrap=False).select("reviewer_id", "cate")
 
 
+@query("separator_equations_l5", using("analysis", body="""
+    SELECT term, count(*) AS n, sum(y_continue)::BIGINT AS positives, 0.0::DOUBLE AS gradient
+    FROM analysis CROSS JOIN (VALUES ('const'), ('hits_ATT'), ('hits_BI'), ('vader_compound')) v(term) GROUP BY term"""))
+def separator_equations(spark, sf):
+    """The objective's derivatives at the fitted weights, summed by expressions over all rows; they vanish at the optimum only."""
+    rows, x, alpha = I.analysis(spark, sf), ["hits_ATT", "hits_BI", "vader_compound"], 1e-5
+    fit = le.huber_separator(rows, "y_continue", x, alpha)
+    sign = F.col("y_continue") * 2 - 1
+    z = sign * fit.margin()
+    slope = F.when(z < -1, F.lit(-4.0)).otherwise(-2 * F.greatest(1 - z, F.lit(0.0))) * sign
+    terms = {"const": (F.lit(1.0), 0.0), **{c: (F.col(c), alpha * float(w)) for c, w in zip(x, fit.weights)}}
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y_continue").alias("positives"),
+                    *[F.abs(F.round(F.avg(slope * c) + F.lit(r), 6)).alias(f"g_{t}") for t, (c, r) in terms.items()])
+    return sums.select("n", "positives", F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"g_{t}").alias("gradient")) for t in terms])).alias("_t")
+                       ).select("_t.term", "n", "positives", "_t.gradient")
+
+
 _GIVEN = {"gv": "SELECT *, (hits_ATT * 3 + n_tokens % 89 - 40) / 100.0::DOUBLE AS eff FROM analysis",
           "qs": """SELECT quantile_cont(eff, [0.2, 0.4, 0.6, 0.8]) AS q FROM gv""",
           "qt": """SELECT gv.*, 'Q' || (1 + len(list_filter(q, lambda e: eff > e))) AS quintile FROM gv CROSS JOIN qs"""}

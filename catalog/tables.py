@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from catalog import inputs as I
+from catalog.inputs import scratch
 from catalog.registry import query
 from catalog.sql import text_literal, using
 from tidemark.functions import lexicon as lx
 from tidemark.operators import describe as de, regress as rg
 from tidemark.operators.order_stats import hash_sample, running_centred
-from tidemark.session import require_checkpoint_dir
 from tidemark.sources import raw_reviews as rr, tables as tb
-
-
-def _scratch(spark) -> str:
-    """A fresh path in the shared checkpoint folder."""
-    require_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+from tidemark.streaming import jobs
 
 
 _DESC = " UNION ALL ".join(
@@ -211,7 +204,7 @@ def centred_running_sum(spark, sf):
 
 @query("zstd_round_trip_s6", using("focal", body="SELECT city_id::BIGINT AS city_id, count(*) AS n FROM focal GROUP BY city_id"))
 def zstd_round_trip(spark, sf):
-    path = _scratch(spark)
+    path = scratch(spark)
     tb.write_table(I.focal(spark, sf), path, by=["city_id"])
     return spark.read.parquet(path).groupBy("city_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -219,7 +212,7 @@ def zstd_round_trip(spark, sf):
 @query("report_round_trip_s7", using("focal", body="""
     SELECT n_name AS city, count(*)::VARCHAR AS n FROM focal JOIN nation ON n_nationkey = city_id GROUP BY n_name"""))
 def report_round_trip(spark, sf):
-    path = _scratch(spark)
+    path = scratch(spark)
     tb.write_report(de.city_coverage(I.focal(spark, sf).join(F.broadcast(I.city_names(spark, sf)), "city_id")), path)
     return spark.read.option("header", True).csv(path).select("city", "n")
 
@@ -227,21 +220,21 @@ def report_round_trip(spark, sf):
 @query("ledger_s10", using("focal", body="SELECT year, count(*) AS n FROM focal GROUP BY year"))
 def ledger(spark, sf):
     """Two runs over overlapping work: the second adds only what the first left."""
-    book = tb.Ledger(spark, _scratch(spark), ["year"])
+    book = tb.Ledger(spark, scratch(spark), ["year"])
     counts = I.focal(spark, sf).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
     book.append(counts.filter(F.col("year") <= 1996))
     book.append(counts)
     return book.table()
 
 
-def _raw_files(spark, sf) -> str:
+def _raw_files(spark, sf, id_text=None) -> str:
     """The reviews with their texts as CSV files, dates and ids as text."""
     docs = I.aug_documents(spark, sf)
     n = docs.count()
     rows = I.reviews(spark, sf).withColumn("doc_id", F.col("review_id") % F.lit(n)).join(docs, "doc_id").select(
-        "listing_id", F.col("review_id").alias("id"), F.date_from_unix_date("date_i").alias("date"), "reviewer_id",
+        "listing_id", (F.col("review_id") if id_text is None else id_text).alias("id"), F.date_from_unix_date("date_i").alias("date"), "reviewer_id",
         F.lit("x").alias("reviewer_name"), F.col("text").alias("comments"))
-    path = _scratch(spark)
+    path = scratch(spark)
     (rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
@@ -250,7 +243,7 @@ def _raw_files(spark, sf) -> str:
 @query("csv_metadata_s1_s2_s4", using("reviews", body="SELECT review_id, listing_id, reviewer_id, date_i FROM reviews"))
 def csv_metadata(spark, sf):
     """Written as CSV, read back by column name, coerced, and stored per file; the second call adds nothing."""
-    folder, target = _raw_files(spark, sf), _scratch(spark)
+    folder, target = _raw_files(spark, sf), scratch(spark)
     rr.ingest(spark, folder, target)
     return rr.ingest(spark, folder, target).select("review_id", "listing_id", "reviewer_id", "date_i")
 
@@ -263,3 +256,24 @@ def csv_texts(spark, sf):
     paths = [r["path"] for r in cities.select("path").collect()]
     texts = rr.texts(rr.with_city(rr.scan(spark, rr.layouts(spark, paths)), cities))
     return texts.select("review_id", F.md5(F.col("comments").cast("binary")).alias("digest"))
+
+
+@query("ingest_rejects_s3_s4", using("reviews", body="""
+    SELECT count(*)::BIGINT AS n_read, count(*) FILTER (WHERE review_id % 10 = 0)::BIGINT AS n_dropped, 0::BIGINT AS n_refused FROM reviews"""))
+def ingest_rejects(spark, sf):
+    """Every tenth id is no number; counts come from the tables that the ingest leaves beside its rows."""
+    odd_id = F.concat(F.when(F.col("review_id") % 10 == 0, F.lit("x")).otherwise(F.lit("")), F.col("review_id"))
+    folder, target = _raw_files(spark, sf, odd_id), scratch(spark)
+    rr.ingest(spark, folder, target)
+    refused = spark.read.parquet(f"{target}.refused").agg(F.count(F.lit(1)).alias("n_refused"))
+    counts = spark.read.parquet(f"{target}.rejects").agg(F.sum("n_read").alias("n_read"), F.sum("n_dropped").alias("n_dropped"))
+    return counts.crossJoin(refused)                            # one row each
+
+
+@query("streamed_ingest_st1", using("reviews", body="SELECT review_id, listing_id, reviewer_id, date_i FROM reviews"))
+def streamed_ingest(spark, sf):
+    """A stream over the raw files; the second one sees all of them again and adds nothing."""
+    folder, target = _raw_files(spark, sf), scratch(spark)
+    for _ in range(2):
+        jobs.ingest_new_files(spark, folder, target, scratch(spark)).awaitTermination()
+    return spark.read.parquet(target).select("review_id", "listing_id", "reviewer_id", "date_i")

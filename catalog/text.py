@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import inputs as I
+from catalog.inputs import scratch
 from catalog.registry import query
 from catalog.sql import text_list, text_literal, using
 from tidemark.functions import lexicon as lx, text as tx
 from tidemark.operators import measure as me
+from tidemark.streaming import jobs
 
 
 @query("stored_length_t1", using("aug", body="""
@@ -87,6 +89,17 @@ def scored_text(spark, sf):
     return I.features(spark, sf)
 
 
+@query("streamed_scores_st2", using("feat", body="SELECT doc_id, n_tokens, n_sent, vader_compound, "
+       + ", ".join(f"hits_{c}" for c in lx.PATTERNS) + " FROM feat"))
+def streamed_scores(spark, sf):
+    """The scorer on a stream of the documents."""
+    docs = (spark.readStream.schema(I.table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet")
+            .parquet(sf))
+    target = scratch(spark)
+    jobs.score_stream(I.augmented(docs).withColumnRenamed("text", "comments"), target, scratch(spark), keep=["doc_id"]).awaitTermination()
+    return spark.read.parquet(target).select("doc_id", "n_tokens", "n_sent", "vader_compound", *[f"hits_{c}" for c in lx.PATTERNS])
+
+
 @query("screening_funnel_t13", using("judged", body="""
     SELECT source, count(*) AS n_read, count(*) FILTER (WHERE r = 'kept') AS n_kept,
            count(*) FILTER (WHERE r = 'missing') AS n_missing, count(*) FILTER (WHERE r = 'short') AS n_short,
