@@ -300,3 +300,24 @@ def test_quality_edges(spark):
     kept = quality.keep(df, model, 0.0)
     assert kept.columns == df.columns and kept.count() == len(TWICE)
     assert quality.score(frame(spark, []), model).count() == 0
+
+
+def test_trie_finds_successors_inside_a_context_only():
+    rng = np.random.default_rng(4)
+    pairs = np.unique(rng.integers(0, 90, (1500, 2)), axis=0)
+    pairs = pairs[pairs[:, 0] % 7 != 3]                         # contexts that aren't there
+    values = rng.uniform(0, 9, len(pairs))
+    trie = lm.Trie(pairs[:, 0], pairs[:, 1], values)
+    known = {(int(a), int(b)): v for (a, b), v in zip(pairs, values)}
+    ctx, nxt = (x.ravel() for x in np.meshgrid(np.arange(95), np.arange(95)))
+    got = trie.look_up(ctx, nxt)
+    for a, b, g in zip(ctx.tolist(), nxt.tolist(), got.tolist()):
+        want = known.get((a, b))
+        assert np.isnan(g) if want is None else abs(g + want) <= 0.5 / lm.SCALE + 1e-12
+    # Each context's successors are those between its pointer and the next one.
+    places = trie.pointers.get(np.arange(trie.contexts.n + 1)).astype(int)
+    for k, c in enumerate(trie.contexts.get(np.arange(trie.contexts.n)).tolist()):
+        own = trie.successors.get(np.arange(places[k], places[k + 1])) - np.uint64(k) * trie.span
+        assert own.tolist() == pairs[pairs[:, 0] == c, 1].tolist()
+    empty = lm.Trie(*np.zeros((2, 0), np.int64), np.zeros(0))
+    assert np.isnan(empty.look_up(np.array([1]), np.array([2]))).all()

@@ -117,6 +117,24 @@ class EliasFano:
         place = word * 64 + self._nth_bit(self.high[word], i - self.ones[word])
         return ((place - i).astype(np.uint64) << np.uint64(self.width)) | self.lows(i)
 
+    def find_within(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Place of each x among the places lo to hi - 1, by halving; -1 if it isn't there."""
+        lo, hi = lo.copy(), hi.copy()
+        end = hi.copy()
+        while True:
+            wide = np.flatnonzero(lo < hi)
+            if not len(wide):
+                break
+            mid = (lo[wide] + hi[wide]) // 2
+            less = self.get(mid) < x[wide]
+            lo[wide] = np.where(less, mid + 1, lo[wide])
+            hi[wide] = np.where(less, hi[wide], mid)
+        out = np.full(len(x), -1, np.int64)
+        ok = np.flatnonzero(lo < end)
+        ok = ok[self.get(lo[ok]) == x[ok]]
+        out[ok] = lo[ok]
+        return out
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """Place of each x in the sequence, by a search in the bucket of its high part; -1 if it isn't there."""
         out = np.full(len(x), -1, np.int64)
@@ -174,9 +192,10 @@ class Trie:
         own, back = np.unique(ctx, return_inverse=True)
         place = self.contexts.find(own.astype(np.uint64))[back]
         ok = np.flatnonzero((place >= 0) & (nxt.astype(np.uint64) < self.span))
-        at = self.successors.find(place[ok].astype(np.uint64) * self.span + nxt[ok].astype(np.uint64))
+        # The context's pointer and the next one bound its successors, and only those are searched.
+        lo, hi = (self.pointers.get(place[ok] + k).astype(np.int64) for k in (0, 1))
+        at = self.successors.find_within(place[ok].astype(np.uint64) * self.span + nxt[ok].astype(np.uint64), lo, hi)
         hit = at >= 0
-        # The pointers bound the context's range; a hit lies in it because the successor's key holds the place.
         out[ok[hit]] = self.codes[at[hit]] / -SCALE
         return out
 
