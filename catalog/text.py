@@ -93,8 +93,8 @@ def scored_text(spark, sf):
        + ", ".join(f"hits_{c}" for c in lx.PATTERNS) + " FROM feat"))
 def streamed_scores(spark, sf):
     """The scorer on a stream of the documents."""
-    docs = (spark.readStream.schema(I.table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet")
-            .parquet(sf))
+    # As a pattern the path may be a folder or one file; a stream takes a plain path for a folder.
+    docs = spark.readStream.schema(I.table(spark, sf, "documents").schema).parquet(f"{sf}/documents.parque[t]")
     target = scratch(spark)
     jobs.score_stream(I.augmented(docs).withColumnRenamed("text", "comments"), target, scratch(spark), keep=["doc_id"]).awaitTermination()
     return spark.read.parquet(target).select("doc_id", "n_tokens", "n_sent", "vader_compound", *[f"hits_{c}" for c in lx.PATTERNS])

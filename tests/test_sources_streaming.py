@@ -192,3 +192,15 @@ def test_streamed_ingest_finds_columns_by_header_and_repeats_add_nothing(spark,
     assert {tuple(r) for r in spark.read.parquet(out).select(*rr.META).collect()} == want and len(want) == 6
     jobs.ingest_new_files(spark, str(raw), out, str(tmp_path / "fresh mark")).awaitTermination(120)     # all files once more
     assert spark.read.parquet(out).count() == 6 and rr.written_registry(spark, out).count() == 3
+
+
+def test_streamed_scores_read_documents_in_a_folder_or_in_one_file(spark, tmp_path):
+    from catalog.text import streamed_scores
+    docs = spark.createDataFrame([(8 * i, "We were here and the stay was good for all of us. " * 3, "en", "a", 150) for i in range(3)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    for folder in ("many", "one"):
+        assert sorted(r["doc_id"] for r in streamed_scores(spark, str(tmp_path / folder)).collect()) == [0, 8, 16]
