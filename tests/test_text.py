@@ -132,3 +132,19 @@ def test_reconcile_statuses(spark):
     source = spark.createDataFrame([("a", 0.2339), ("b", 0.2339), ("c", 0.4), ("e", 2.0)], "k string, v double")
     assert {r["k"]: r["status"] for r in reconcile(printed, source, "k", "v").collect()} == {
         "a": "rounding", "b": "match", "c": "mismatch", "d": "missing_source", "e": "missing_printed"}
+
+
+def test_batches_are_counted_as_the_column_expressions_count_one_text(spark):
+    texts = ["İ want to return. ſtay here again K İt is lovely ı love", "    good  \x1c", "a<br\n/>b<BR>c\r\nd<br >e", "ſmooth reKommend first-class 'good'",
+             "no good. not very very good, not so very very good. isn't good. Not all that very bad", "easyeasily we could COME BACK we're back", "a\u0085", "good", "no"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    own = {"A": ["gr(?=eat)", "sch.n", "(?:very )+"], **lx.PATTERNS}                    # the first is left to Spark's engine
+    got = score_text(df, "t", ["id"], patterns=own, min_chars=0, min_tokens=1, min_stop_words=0)
+    t, toks = tx.clean(F.col("t")), tx.tokens(tx.clean(F.col("t")))
+    s = tx.sentiment(toks, lx.VALENCES, lx.NEGATORS)
+    want = df.select("id", F.size(toks).alias("n_tokens"), F.length(t).alias("n_chars"), F.round(tx.compound(s["total"]), 4).alias("vader_compound"),
+                     *[tx.lexicon_hits(t, p).alias(f"hits_{c}") for c, p in own.items()])
+    assert got.count() == len(texts) and got.select(*want.columns).exceptAll(want).count() == 0
+    # No word is looked at by itself: nothing of the plan runs a function over an array of words.
+    plan = score_text(df, "t", ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "regexp_extract_all" not in plan
