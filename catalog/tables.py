@@ -228,14 +228,14 @@ def ledger(spark, sf):
 
 
 def _raw_files(spark, sf, id_text=None) -> str:
-    """The reviews with their texts as CSV files, dates and ids as text."""
+    """The reviews with their texts as gzip CSV files, dates and ids as text. Every review carries a whole text, so the files outgrow the tables."""
     docs = I.aug_documents(spark, sf)
     n = docs.count()
     rows = I.reviews(spark, sf).withColumn("doc_id", F.col("review_id") % F.lit(n)).join(docs, "doc_id").select(
         "listing_id", (F.col("review_id") if id_text is None else id_text).alias("id"), F.date_from_unix_date("date_i").alias("date"), "reviewer_id",
         F.lit("x").alias("reviewer_name"), F.col("text").alias("comments"))
     path = scratch(spark)
-    (rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+    (rows.write.option("header", True).option("escape", '"').option("compression", "gzip").option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 

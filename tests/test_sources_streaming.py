@@ -1,4 +1,5 @@
 import gzip
+import pathlib
 import random
 
 import pytest
@@ -204,3 +205,26 @@ def test_streamed_scores_read_documents_in_a_folder_or_in_one_file(spark, tmp_pa
     next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "one" / "documents.parquet")
     for folder in ("many", "one"):
         assert sorted(r["doc_id"] for r in streamed_scores(spark, str(tmp_path / folder)).collect()) == [0, 8, 16]
+
+
+def test_raw_files_of_the_queries_are_smaller_than_their_texts(spark, tmp_path):
+    """Every review carries a whole text; the files come back whole through the ingest."""
+    import datetime
+    from catalog import tables as ct
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)]
+    def save(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    save("documents", [(i, " ".join(rng.choices(words, k=300)) + '\n"a", b') for i in range(40)], "doc_id long, text string")
+    spark.read.parquet(str(tmp_path / "documents.parquet")).selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars").coalesce(1).write.parquet(str(tmp_path / "d2"))
+    (tmp_path / "documents.parquet").rename(tmp_path / "d1")
+    (tmp_path / "d2").rename(tmp_path / "documents.parquet")
+    save("orders", [(i, i % 7, datetime.datetime(1996, 1, 1 + i % 28)) for i in range(40)], "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    save("lineitem", [(i, i % 3) for i in range(40)], "l_orderkey long, l_suppkey long")
+    save("supplier", [(i, i) for i in range(3)], "s_suppkey long, s_nationkey int")
+    folder = ct._raw_files(spark, str(tmp_path))
+    size = sum(f.stat().st_size for f in pathlib.Path(folder.removeprefix("file:")).glob("part-*"))
+    assert size < 40 * 300 * 7 * 0.7
+    back = rr.texts(rr.with_city(rr.scan(spark, rr.layouts(spark, [r["path"] for r in rr.registry(spark, folder).collect()])), rr.registry(spark, folder)))
+    want = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert back.count() == 40 and back.join(want, (F.col("review_id") == F.col("doc_id")) & F.startswith("comments", "text")).count() == 40
