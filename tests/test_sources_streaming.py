@@ -228,3 +228,22 @@ def test_raw_files_of_the_queries_are_smaller_than_their_texts(spark, tmp_path):
     back = rr.texts(rr.with_city(rr.scan(spark, rr.layouts(spark, [r["path"] for r in rr.registry(spark, folder).collect()])), rr.registry(spark, folder)))
     want = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert back.count() == 40 and back.join(want, (F.col("review_id") == F.col("doc_id")) & F.startswith("comments", "text")).count() == 40
+
+
+def test_one_row_group_is_spread_although_its_file_has_many_splits(spark, tmp_path):
+    rows = spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        read = spark.read.parquet(f"{tmp_path}/one")
+        assert read.rdd.getNumPartitions() >= 4
+        spread = tb.spread_if_few(read)
+        held = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(held) <= 2000 and sum(held) == 4000
+        assert spread.columns == ["id", "text"] and spread.exceptAll(read).count() == 0
+        even = spark.range(0, 4000, 1, 8)
+        assert tb.spread_if_few(even) is even                      # even splits aren't shuffled
+        assert tb.spread_if_few(read.filter("id < 0")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
