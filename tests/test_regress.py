@@ -186,6 +186,23 @@ def test_separation_by_two_regressors_is_refused(spark, n, mixed):
         absorbed.logit_absorbed(df, "y", ["a", "b", "z"], "city")
 
 
+def test_separated_outcome_in_the_limit(spark):
+    df = two_together(spark, 60, 400)
+    fit = rg.logit(df, "y", ["a", "b", "z"], "city", limit=True)
+    want = rg.logit(df.filter("a <> b"), "y", ["a", "z"], "city")        # rows that the direction says nothing about
+    assert fit.n == 520 and fit.stats["ll"] == pytest.approx(want.stats["ll"], abs=1e-4)
+    assert fit.stats["gradient"] <= 1e-9 * fit.n
+    assert np.isnan(fit.beta[:3]).all() and fit.row("z")[0] == pytest.approx(want.row("z")[0], abs=1e-6)
+    assert np.isfinite(fit.row("z")[1]) and [why for _, why, _ in fit.left_out] == ["separated, no finite coefficient"]
+    with pytest.raises(rg.NotConverged, match="separated along"):
+        rg.logit(df.filter("a = b"), "y", ["a", "z"], "city", limit=True)              # no direction is left
+    names = ["const", "BI", "ATT", "SN", "PBC", "SAT"]
+    both = rg.Fit(names, np.array([1.0, np.nan, 2.0, 1.0, 1.0, 1.0]), np.eye(6), 9, 3,
+                  {"mean": 0.5, "r2": 0.1, "pseudo_r2": 0.1, "aic": 1.0, "bic": 1.0})
+    row = rg.run_summary(spark, [("R2", rg.PairFit("y", both, both), 0.0)]).first()
+    assert row["BI->Y"] is None and row["ATT->Y"].startswith("2.0000")
+
+
 def test_a_rare_outcome_is_no_separation(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=60_000)
