@@ -186,6 +186,15 @@ def test_separation_by_two_regressors_is_refused(spark, n, mixed):
         absorbed.logit_absorbed(df, "y", ["a", "b", "z"], "city")
 
 
+def test_few_rows_are_put_together(spark, monkeypatch):
+    df = spark.range(1000).repartition(50)
+    few = rg.compact(df)
+    assert few.rdd.getNumPartitions() == 4 and few.agg(F.sum("id"), F.count("id")).first()[:] == (499500, 1000)
+    assert rg.compact(few) is few
+    monkeypatch.setattr(rg, "TASK_ROWS", 100)
+    assert rg.compact(df).rdd.getNumPartitions() == 10                  # as many as the rows ask for
+
+
 def test_separated_outcome_in_the_limit(spark):
     df = two_together(spark, 60, 400)
     fit = rg.logit(df, "y", ["a", "b", "z"], "city", limit=True)

@@ -107,6 +107,19 @@ def _sum_cells(df: DataFrame, cols: Sequence[str], block, size: int, partitions:
     return add_blocks(rows.mapInArrow(partial, "block binary"), size, partitions)
 
 
+#: Rows that one task of a pass takes at least, where there are more tasks than cores.
+TASK_ROWS = 100_000
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """The rows in no more partitions than cores or their number ask for; a fit makes many passes, each with a task a partition.
+
+    Rows are counted, in one pass, and not shuffled; partitions are put together.
+    """
+    enough = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.coalesce(enough) if df.rdd.getNumPartitions() > enough else df
+
+
 def gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     """X'X of the columns."""
     k = len(cols)
@@ -367,7 +380,7 @@ def fit_pair(df: DataFrame, outcome: str, mode: str = "count", city_means: bool
     used, lost = (_cities_out(df, vary_within(df, "city_id", outcome), "the outcome does not vary")) if by_city else (df, [])
     for positives in (2, 5, None):
         matrix, names = design_matrix(used, mode, city_means and not by_city, city_levels)
-        matrix = matrix.persist()
+        matrix = compact(matrix).persist()
         others = [n for n in names if n != "BI"]
         try:
             if city_effects:
