@@ -4,6 +4,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import inputs
 from tidemark.functions.scalar import hash32, in_hash_sample
 from tidemark.operators import cohort as co
 
@@ -125,3 +126,18 @@ def test_pairs_add_up_to_the_counts(spark):
     assert {r["reviewer_id"]: (r["n"], r["s"]) for r in pairs.collect()} == counts
     mine = co.reviews_of(df, firsts)
     assert mine.count() == df.join(firsts.select("reviewer_id"), "reviewer_id").count()
+
+
+def test_panel_of_the_view_reads_its_rows_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    rows = spark.createDataFrame([(i, i % 7, i % 3, 1, 9000 + i) for i in range(50)],
+                                 "review_id long, reviewer_id long, listing_id long, city_id int, date_i int")
+    monkeypatch.setattr(inputs, "reviews", lambda spark, sf: rows.mapInArrow(counted, rows.schema))
+    found = {tuple(r) for r in inputs.focal(spark, "").collect()}
+    assert seen.value == 50                                     # counts of hot keys and both windows read a written table
+    assert found == {tuple(r) for r in co.focal_panel(rows, inputs.VIEW_RULE).collect()} and found
