@@ -1,6 +1,7 @@
 """Rows on which a shortened job gives other results than the whole one."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.test_operators import by_id, frame, prose
@@ -109,3 +110,16 @@ def test_folded_bits_stay_a_bound():
         bits = jaccard.parity(x), jaccard.parity(y)
         assert jaccard.apart(*bits) <= away and jaccard.apart(bits[0], bits[0]) == 0
         assert int(np.bitwise_count(jaccard.folded(bits[0]) ^ jaccard.folded(bits[1])).sum()) <= jaccard.apart(*bits)
+
+
+def test_pairs_across_components_meet_where_their_shared_shingles_begin(spark):
+    # Three classes share 30 shingles, but for one of class 2 in the middle: its pairs are made twice instead of 29 times.
+    rows = [(s, c, 400, s, c) for s in range(30) for c in (1, 2, 3) if (s, c) != (15, 2)]
+    rest = jaccard.with_largest(spark.createDataFrame(rows, "shingle long, cls long, n int, place int, comp long"))
+    assert {r["across"] for r in rest.collect()} == {3.0, 1.0}
+    before = {(r["cls"], r["shingle"]): r["before"] for r in jaccard.with_previous(rest).collect()}
+    assert before[1, 0] is None and before[1, 16] == 15 and before[2, 16] == 14
+    made = jaccard._joined(jaccard.with_previous(rest), ["shingle"], [], 90)
+    assert sorted(map(tuple, made.collect())) == [(1, 2), (1, 2), (1, 3), (2, 3), (2, 3)]
+    assert sorted(map(tuple, jaccard._across(rest, 90).collect())) == [(1, 2), (1, 3), (2, 3)]
+    assert sorted(map(tuple, jaccard._across(rest, 90, F.lit(2e6)).collect())) == [(1, 2), (1, 3), (2, 3)]      # dealt over salts
