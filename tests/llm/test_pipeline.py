@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
-from tidemark.llm import pii
+from tidemark.llm import jaccard, pii
+from tidemark.session import gathered
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,6 +50,28 @@ def test_duplicates_go_only_for_their_own_text(spark):
     assert redacted.columns == docs.columns and {tuple(r)[1:] for r in redacted.collect()} == {("mail [EMAIL] now", *["x"] * len(clashing))}
 
 
+def test_no_text_of_a_shared_id_is_looked_up(spark, monkeypatch):
+    seen, plain = [], corpus_pipeline.lookup_join
+    monkeypatch.setattr(corpus_pipeline, "lookup_join", lambda fact, lookup, *a, **k: seen.append(lookup.columns) or plain(fact, lookup, *a, **k))
+    docs = spark.createDataFrame([(1, "a long text"), (1, "another long text"), (2, "b"), (None, "b")], "doc_id long, text string")
+    assert corpus_pipeline.duplicates_stage(spark, docs, SF).count() == 4
+    assert seen and all(columns == ["doc_id"] for columns in seen)
+
+
+def test_links_are_read_by_as_few_tasks_as_they_ask_for(spark, monkeypatch):
+    seen, plain = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda links: seen.append(links.rdd.getNumPartitions()) or plain(links))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame([(i, f"one two three four five {i // 2}") for i in range(40)], "doc_id long, text string")
+        found = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == {i: i // 2 * 2 for i in range(40)}
+    assert seen and set(seen) == {1}
+    assert gathered(spark.range(10, numPartitions=7), 4).rdd.getNumPartitions() == 3
+
+
 def test_run_registers_and_ends(spark):
     import __spark_entry__ as contract
     assert contract.queries()["pipeline"] is corpus_pipeline.run
