@@ -81,13 +81,14 @@ def scan(spark: SparkSession, files: Mapping[str, Sequence[str]], wanted: Sequen
     parts = [spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*wanted, "file"]))]
     split = {p: names for p, names in files.items() if p.rsplit("/", 1)[-1] not in unpaired}
     if split:
-        places = spark.createDataFrame([(p.rsplit("/", 1)[-1], [list(names).index(c) for c in wanted]) for p, names in split.items()],
-                                       "file string, places array<int>")                              # one row per file
+        at = {p.rsplit("/", 1)[-1]: [list(names).index(c) for c in wanted] for p, names in split.items()}
+        places = spark.createDataFrame(list(at.items()), "file string, places array<int>")                # one row per file
         width = max(map(len, split.values()))
         fields = F.from_csv("record", ", ".join(f"c{k} string" for k in range(width)), {k: v for k, v in OPTIONS.items() if k != "header"})
-        rows = (records(spark, list(split), blocks).select(_file(F.col("path")).alias("file"), fields.alias("_row"))
-                .select("file", F.array(*[F.col(f"_row.c{k}") for k in range(width)]).alias("_cells")).join(F.broadcast(places), "file"))
-        parts.append(rows.select(*[F.get("_cells", F.col("places")[k]).alias(c) for k, c in enumerate(wanted)], "file"))
+        rows = (records(spark, list(split), blocks, at).select(_file(F.col("path")).alias("file"), fields.alias("_row"), "cells")
+                .select("file", F.array(*[F.col(f"_row.c{k}") for k in range(width)]).alias("_cells"), "cells").join(F.broadcast(places), "file"))
+        parts.append(rows.select(*[F.when(F.col("cells").isNotNull(), F.get("cells", F.lit(k))).otherwise(F.get("_cells", F.col("places")[k])).alias(c)
+                                   for k, c in enumerate(wanted)], "file"))
     for path in files.keys() - split.keys():
         schema = StructType([StructField(c, StringType()) for c in files[path]])
         rows = spark.read.schema(schema).options(**OPTIONS).csv(path)

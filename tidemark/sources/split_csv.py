@@ -11,7 +11,8 @@ at a record's end. A gzip file is one range. Files in which quotes stand unpaire
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tidemark.session import checkpointed
 
 BLOCKS = "path string, start long, odd int, plain long, inner long, head string"
-LINES = "path string, start long, kind int, record string"
+LINES = "path string, start long, kind int, record string, cells array<string>"
 MAX_RANGES = 1_000_000                          # 128 TB at the usual 128 MB a range
 WHOLE, OPENS, GOES_ON, CLOSES = range(4)
 
@@ -59,7 +60,7 @@ def survey(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
                     done += [now] if now else []
                     now = [path, start, 0, 0, 0, lines[0].as_py() if start == 0 else None]
                 before = (now[2] + np.cumsum(odd) - odd) & 1
-                filled = ~np.asarray(pc.is_in(lines, pa.array(["", "\r"])).cast(pa.int8())).astype(bool)
+                filled = (np.asarray(pc.binary_length(lines)) > 0) & ~np.asarray(pc.equal(lines, "\r").cast(pa.int8())).astype(bool)
                 now[3] += int((filled & (before == 0)).sum())
                 now[4] += int((filled & (before == 1)).sum())
                 now[2] = int(now[2] + odd.sum()) & 1
@@ -85,22 +86,43 @@ def odd_files(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("path").agg(F.bit_xor("odd").alias("odd")).where("odd = 1").select("path")
 
 
-def records(spark: SparkSession, paths: Sequence[str], blocks: DataFrame) -> DataFrame:
-    """(path, record) of every record but the headers, as CSV text.
+def cells_of(record: str, places: Sequence[int]) -> list[str | None] | None:
+    """The fields at `places` of a record that is plain, up to a last field in quotes; None where a CSV parser has to look at it."""
+    if not record[:1] > " " or "\r" in record or "\0" in record:
+        return None
+    at = record.find('"')
+    if at < 0:
+        cells = record.split(",")
+    else:
+        inner = record[at + 1:-1]
+        if not inner or record[-1] != '"' or (at and record[at - 1] != ",") or '"' in inner.replace('""', ""):
+            return None
+        cells = record[:at].split(",")
+        cells[-1] = inner.replace('""', '"')
+    return [(cells[k] or None) if k < len(cells) else None for k in places]
+
+
+def records(spark: SparkSession, paths: Sequence[str], blocks: DataFrame, places: Mapping[str, Sequence[int]] | None = None) -> DataFrame:
+    """(path, record) of every record but the headers, as CSV text. With `places`, the wanted columns by file name, (path,
+    record, cells): records that `cells_of` reads have their cells only, so that a parser sees few and fields not wanted go nowhere.
 
     `blocks` (from `survey`) is broadcast up to MAX_RANGES rows; it has one per `spark.sql.files.maxPartitionBytes` of input.
     """
     if blocks.count() > MAX_RANGES:
         raise ValueError("more ranges than can be broadcast: raise spark.sql.files.maxPartitionBytes or read fewer files at once")
     if not paths:
-        return spark.createDataFrame([], "path string, record string")
+        return spark.createDataFrame([], "path string, record string" + ", cells array<string>" * (places is not None))
     lines = _lines(spark, paths)
     ends_inside = F.coalesce(F.lead("inside").over(W.partitionBy("path").orderBy("start")), F.lit(False))         # a row per range
     border = blocks.select("path", "start", "inside", ends_inside.alias("_ends")).where("inside OR _ends").select("path", "start", "inside")
     several = bool(border.take(1))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, open_, kind, parts = None, False, WHOLE, []
+        at, open_, kind, parts, wanted = None, False, WHOLE, [], None
+
+        def whole(text: str) -> tuple:
+            cells = None if wanted is None else cells_of(text, wanted)
+            return *at, WHOLE, text if cells is None else None, cells
         for b in batches:
             out: list[tuple] = []
             offset = 0
@@ -109,10 +131,11 @@ def records(spark: SparkSession, paths: Sequence[str], blocks: DataFrame) -> Dat
                 offset += len(lines_)
                 if (path, start) != at:
                     if open_:
-                        out.append((*at, OPENS if kind == WHOLE else GOES_ON, "\n".join(parts)))
+                        out.append((*at, OPENS if kind == WHOLE else GOES_ON, "\n".join(parts), None))
                     if inside is None:
                         raise RuntimeError(f"{path} was cut otherwise when it was read again")
                     at, open_, parts = (path, start), inside, []
+                    wanted = None if places is None else places[unquote(path.rsplit("/", 1)[-1])]
                     kind = GOES_ON if inside else WHOLE
                     if start == 0:                              # the header
                         lines_, odd = lines_[1:], odd[1:]
@@ -120,30 +143,32 @@ def records(spark: SparkSession, paths: Sequence[str], blocks: DataFrame) -> Dat
                 simple = (before == 0) & (odd == 0)
                 for text in lines_.filter(pa.array(simple)).to_pylist():
                     if text not in ("", "\r"):
-                        out.append((path, start, WHOLE, text))
+                        out.append(whole(text))
                 rest = ~simple
                 for text, turns in zip(lines_.filter(pa.array(rest)).to_pylist(), odd[rest].tolist()):
                     parts.append(text)
                     if not open_:
                         open_ = True
                     elif turns:
-                        out.append((path, start, CLOSES if kind == GOES_ON else WHOLE, "\n".join(parts)))
+                        text = "\n".join(parts)
+                        out.append((*at, CLOSES, text, None) if kind == GOES_ON else whole(text))
                         open_, kind, parts = False, WHOLE, []
             if out:
                 yield _batch(out)
         if open_:
-            yield _batch([(*at, OPENS if kind == WHOLE else GOES_ON, "\n".join(parts))])
+            yield _batch([(*at, OPENS if kind == WHOLE else GOES_ON, "\n".join(parts), None)])
 
     def _batch(rows: list) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.string()]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in LINES.split(", ")])
 
     # What a range's first byte lies in depends on the file alone, so ranges cut otherwise than surveyed are noticed, not misread.
     known = F.broadcast(blocks.select("path", "start", "inside"))
     found = lines.join(known, ["path", "start"], "left").select("value", "path", "start", "inside").mapInArrow(assemble, LINES)
-    whole = found.where(F.col("kind") == WHOLE).select("path", F.regexp_replace("record", r"\r\z", "").alias("record"))
+    told = [] if places is None else ["cells"]
+    complete = found.where(F.col("kind") == WHOLE).select("path", F.regexp_replace("record", r"\r\z", "").alias("record"), *told)
     if not several:
-        return whole
+        return complete
     # Pieces are looked for in ranges whose border cuts a field; no other range gets to Python a second time.
     cut = lines.join(F.broadcast(border), ["path", "start"]).select("value", "path", "start", "inside")
     pieces = cut.mapInArrow(assemble, LINES).where(F.col("kind") != WHOLE)
@@ -151,4 +176,5 @@ def records(spark: SparkSession, paths: Sequence[str], blocks: DataFrame) -> Dat
     joined = (pieces.withColumn("_no", number).groupBy("path", "_no")
               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", F.negate("kind").alias("k"), "record"))),
                                             lambda p: p["record"]), "\n").alias("record")))
-    return whole.unionByName(joined.select("path", F.regexp_replace("record", r"\r\z", "").alias("record")))
+    none = [F.lit(None).cast("array<string>").alias(c) for c in told]
+    return complete.unionByName(joined.select("path", F.regexp_replace("record", r"\r\z", "").alias("record"), *none))
