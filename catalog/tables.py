@@ -254,7 +254,8 @@ def csv_texts(spark, sf):
     """Texts with line breaks, quotes and commas survive the round trip."""
     cities = rr.registry(spark, _raw_files(spark, sf))
     paths = [r["path"] for r in cities.select("path").collect()]
-    texts = rr.texts(rr.with_city(rr.scan(spark, rr.layouts(spark, paths)), cities))
+    blocks = rr.survey(spark, paths)
+    texts = rr.texts(rr.with_city(rr.scan(spark, rr.layouts(spark, paths, blocks=blocks), blocks=blocks), cities))
     return texts.select("review_id", F.md5(F.col("comments").cast("binary")).alias("digest"))
 
 

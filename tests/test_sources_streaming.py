@@ -55,6 +55,32 @@ def test_columns_are_found_by_name_and_odd_files_left_out(spark, tmp_path):
     assert len(rows) == 6
 
 
+def test_cells_of_plain_records_are_those_of_the_parser(spark):
+    plain = ["a,b,c", "a,,c", "a,b", "a", "a,b,", "a,b,c,d,e", "a, b ,c ", "é,ß,'x'", 'a,b,"c"', 'a,b,"c, ""d"" e"', 'a,b,"two\nlines"', '"only, one"', 'a,"""b"""',
+             'a,b," c "', "a,#b,c\\", 'a,"b\\"', "#a,b,c", "a,b\tc,d", 'a,"\n"', 'a,b,"x,\n\n""y"""', 'a,"\t,"']
+    other = ["", " a,b", "a,b\r", 'a,""', 'a,"b",c', 'a,b"c', 'a,"b"c', 'a,"b', 'a,b "c"', 'a,"b""', "\0a,b", 'a,"b"c"', '"', 'a,b,"c\r\nd"']
+    assert [t for t in plain if sc.cells_of(t, range(4)) is None] == [] and [t for t in other if sc.cells_of(t, range(4)) is not None] == []
+    options = {k: v for k, v in rr.OPTIONS.items() if k != "header"}
+    rows = spark.createDataFrame([(t,) for t in plain], "t string").select("t", F.from_csv("t", "c0 string, c1 string, c2 string, c3 string", options).alias("r"))
+    for r in rows.collect():
+        assert sc.cells_of(r["t"], range(4)) == list(r["r"]), r["t"]
+        assert sc.cells_of(r["t"], [2, 0]) == [r["r"]["c2"], r["r"]["c0"]]
+
+
+def test_plain_records_need_no_parser_and_files_are_surveyed_once(spark, tmp_path, monkeypatch):
+    files(tmp_path)
+    cities = rr.registry(spark, str(tmp_path))
+    paths = [r["path"] for r in cities.collect()]
+    blocks = sc.survey(spark, paths)
+    told = sc.records(spark, paths, blocks, {r["file"]: [1] for r in cities.collect()}).collect()
+    assert sorted(r["cells"][0] for r in told if r["cells"]) == ["10", "11x", "12.0", "20", "21", "30", "9007199254740993", "9007199254740993"]
+    assert all(r["record"] is None for r in told)
+    from catalog import tables
+    seen, plain = [], rr.survey
+    monkeypatch.setattr(rr, "survey", lambda *a: seen.append(1) or plain(*a))
+    assert tables.csv_texts(spark, "/root/testdata/sf0.001").count() > 0 and len(seen) == 1
+
+
 def test_ingest_skips_finished_cities(spark, tmp_path):
     raw, out = tmp_path / "raw", str(tmp_path / "meta")
     files(raw)
